@@ -1,0 +1,357 @@
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+
+from loomline.llm import bpe, exact_dedup, langid, mixing, mjpeg, pii, sharding, warc
+
+from . import rows as R
+
+SF = "/root/testdata/sf0.001"
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
+
+
+# exact dedup
+
+
+def brute_dedup(docs):
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(SPACE.sub(" ", t or ""), []).append(i)
+    out = []
+    for t, ids in groups.items():
+        keep = min((x for x in ids if x is not None), default=None)
+        first = True
+        for i in ids:
+            kept = i == keep and first
+            first = first and not kept
+            out.append((i, keep, len(ids), kept, hashlib.sha256(t.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_exact_dedup(spark):
+    df = R.awkward(spark)
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    assert sorted(map(tuple, exact_dedup.exact_dedup(df, digest_all=True).collect()), key=str) == brute_dedup(docs)
+    partly = exact_dedup.exact_dedup(df).collect()
+    assert [r for r in partly if r.group_size > 1 and r.text_sha256 is None] == []
+    assert any(r.text_sha256 is None for r in partly)
+    kept = exact_dedup.drop_exact_duplicates(df)
+    assert kept.columns == df.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(x[0] for x in brute_dedup(docs) if x[3])
+
+
+def test_exact_dedup_empty(spark):
+    assert exact_dedup.exact_dedup(R.empty(spark)).count() == 0
+    assert exact_dedup.drop_exact_duplicates(R.empty(spark)).count() == 0
+
+
+# mixing
+
+
+@pytest.mark.parametrize("sizes,weights", [([100, 10, 50, 40], [3, 1, 2, 3]), ([5, 0, 1000], [3, 1, 2]), ([7], [3])])
+def test_water_fill(spark, sizes, weights):
+    rows = [(f"s{i}", s, float(w)) for i, (s, w) in enumerate(zip(sizes, weights, strict=True))]
+    got = {r.source: r.target for r in mixing.water_fill(spark.createDataFrame(rows, "source string, source_size long, weight double")).collect()}
+    left, open_, want = 1.5 * sum(sizes), dict(rows_by(rows)), {}
+    while open_:  # clamp and share the rest again
+        level = left / sum(w for _, w in open_.values())
+        over = [s for s, (n, w) in open_.items() if w * level > 2 * n]
+        if not over:
+            want |= {s: w * level for s, (_, w) in open_.items()}
+            break
+        for s in over:
+            want[s] = 2.0 * open_.pop(s)[0]
+            left -= want[s]
+    assert got == pytest.approx(want)
+
+
+def rows_by(rows):
+    return [(s, (n, w)) for s, n, w in rows]
+
+
+def test_mix(spark):
+    df = R.awkward(spark)
+    got = mixing.mix(df).collect()
+    assert len(got) == df.count()
+    taken, target = Counter(), {}
+    for r in got:
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in target)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df).collect()))
+    assert mixing.mix(R.empty(spark)).count() == 0
+    mixed = mixing.mixed_rows(df)
+    assert mixed.columns == df.columns and mixing.mixed_rows(R.empty(spark)).count() == 0
+
+
+def test_mixed_rows_meet_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    target = {r.source: (r.target, r.source_size) for r in mixing.mix(docs).collect()}
+    got = mixing.mixed_rows(docs).groupBy("source").agg({"*": "count"}).count()
+    assert got == len(target)
+    words = {r.source: r.n for r in mixing.mixed_rows(docs).select("source", mixing.word_count("text").alias("n")).groupBy("source").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    largest = docs.select(mixing.word_count("text").alias("n")).agg({"n": "max"}).first()[0]
+    assert all(abs(words[s] - t) <= largest / 2 + 1 for s, (t, _) in target.items())
+
+
+# sharding
+
+
+def test_sharding(spark):
+    df = spark.range(4000).selectExpr("id as doc_id", "cast(id % 7 as string) as text", "1 as shard")
+    got = sharding.shard_rows(df).collect()
+    by = Counter(r.shard for r in got)
+    assert set(by) == set(range(8)) and max(by.values()) < 1.25 * min(by.values())
+    assert all(r.grown_shard in (r.shard, 8) for r in got)
+    assert 300 < sum(r.grown_shard == 8 for r in got) < 600
+    for s in by:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(by[s]))
+    assert all(r.size == 2 and r.text_crc32 == zlib.crc32(str(r.doc_id % 7).encode()) for r in got)
+
+
+def test_sharding_confines_movement(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "'' as text")
+    tree = sharding.layout(8)
+    heavy = [sharding.Shard(s.region, s.rack, s.shard, 2.0 if s.shard == 5 else 1.0) for s in tree]
+    for r in sharding.shard_rows(df, tree=tree, grown=heavy).collect():
+        if r.shard != r.grown_shard:
+            assert r.grown_shard // 4 == 1  # only the region of shard 5 wins rows
+    without = [s for s in tree if s.shard != 3]
+    assert all(r.shard == r.grown_shard or r.shard // 4 == 0 for r in sharding.shard_rows(df, tree=tree, grown=without).collect())
+
+
+def test_sharding_awkward(spark):
+    df = R.awkward(spark)
+    got = sharding.shard_rows(df).collect()
+    assert len(got) == df.count()
+    for s in {r.shard for r in got}:
+        own = [r.slot for r in got if r.shard == s]
+        assert sorted(own) == list(range(len(own)))
+    assert sharding.shard_rows(R.empty(spark)).count() == 0
+
+
+# WARC
+
+
+def pages(spark):
+    html = ["<p>a</p>", "<p>a</p>", "", None, "x\r\n\r\nWARC/1.0\r\ny", "ü" * 70_000, "<p>b</p>", "<p>a</p>"]
+    urls = ["http://www.B.com/x?q=1#f", None, "https://a.org", "http://a.org/p%0Aq", "bad\r\nurl", "http://[x", "", "http://b.com:8080/x"]
+    rows = [(i if i != 6 else None, u, h, 7) for i, (u, h) in enumerate(zip(urls, html, strict=True))]
+    return spark.createDataFrame(rows, "page_id long, url string, html string, position int")
+
+
+def test_warc(spark):
+    df = pages(spark)
+    got = {r.page_id: r for r in warc.capture_index(df).collect()}
+    docs = {r.page_id: (r.url, (r.html or "").encode()) for r in df.collect()}
+    assert set(got) == set(docs)
+    last = {}
+    for i, (_, h) in docs.items():
+        last[h] = max(last.get(h, -1), -1 if i is None else i)
+    for i, (url, h) in docs.items():
+        r, again = got[i], i is not None and last[h] != i
+        assert (r.payload_bytes, r.payload_digest) == (len(h), base64.b32encode(hashlib.sha1(h).digest()).decode())
+        assert (r.record_type, r.refers_to, r.url) == ("revisit" if again else "response", last[h] if again else None, url)
+    assert got[0].urlkey == "com,b)/x?q=1" and got[2].urlkey == "org,a)/"
+    assert warc.capture_index(df.limit(0)).count() == 0
+
+
+def test_warc_order(spark):
+    df = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = warc.capture_index(df).selectExpr("*", "spark_partition_id() as part").collect()
+    ordered = sorted(rows, key=lambda r: (r.part, r.position))
+    keys = [(r.urlkey, r.ts, r.page_id) for r in ordered]
+    assert keys == sorted(keys) and len(keys) == df.count()
+
+
+def test_loser_tree():
+    rng = random.Random(1)
+    for k in range(9):
+        runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(20))) for _ in range(k)]
+        merged = [x[0] for x in warc.LoserTree([iter([(x, None) for x in r]) for r in runs])]
+        assert merged == sorted(x for r in runs for x in r)
+
+
+# BPE
+
+
+def library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+ODD = [
+    "", " ", "İΣΑΣ ΟΔΟΣ", "é ́x a\x1cb\x1f c", "<|endoftext|>hi<|startoftext|> <|endoftext|", "it's we'll I'M 'S",
+    "日本語 12³½", "x" * 5000, " a　b\x85c", "😀👨‍👩‍👧 ok", "ÅA ﬁ", "ab" * 20_000,
+]
+
+
+def test_bpe_matches_library():
+    codec, lib = bpe.Codec(public_tokenizers.path("word_bpe_49k.json")), library()
+    texts = [x or "" for x in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist()] + ODD
+    for t in texts:
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert codec.encode(t) == want
+        assert codec.decode(want) == lib.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_rows(spark):
+    df, lib = R.awkward(spark), library()
+    got = sorted(map(tuple, bpe.encode_documents(df, public_tokenizers.path("word_bpe_49k.json")).collect()), key=str)
+    want = []
+    for r in df.collect():
+        ids = lib.encode(r.text or "", add_special_tokens=False).ids
+        text = lib.decode(ids, skip_special_tokens=False)
+        want.append((r.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert bpe.encode_documents(R.empty(spark), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+def test_bpe_forgets(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    codec, lib = bpe.Codec(public_tokenizers.path("word_bpe_49k.json")), library()
+    text = " ".join(R.words(random.Random(1), 40) * 3)
+    assert codec.encode(text) == lib.encode(text, add_special_tokens=False).ids
+
+
+# media
+
+
+def test_media_round_trip(spark):
+    df = R.awkward(spark)
+    media = mjpeg.to_media(df)
+    got = sorted(mjpeg.read_media(media).collect(), key=str)
+    for r, d in zip(sorted(got, key=lambda r: str((r.doc_id, r.n_bytes))), sorted(df.collect(), key=lambda r: str((r.doc_id, len((r.text or "").encode())))), strict=True):
+        data = (d.text or "").encode()
+        full = data + b"\xff" * ((-len(data)) % 576 or (0 if data else 576))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(full), hashlib.sha256(full).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(full[-32:])
+        assert r.clips[0].start_ms == 0 and r.clips[-1].end_frame == len(full) // 576
+    assert mjpeg.text_media(R.empty(spark)).count() == 0
+    assert mjpeg.clip_rows(media).count() == sum(len(r.clips) for r in got)
+
+
+def test_frames_keep_every_sample():
+    rng = np.random.default_rng(1)
+    samples = np.concatenate((rng.integers(0, 256, (50, 576)), np.full((2, 576), 255), np.tile([0, 255], (3, 288)), np.zeros((1, 576)))).astype(np.uint8)
+    assert (mjpeg.decode_frames(mjpeg.encode_frames(samples)) == samples).all()
+    data = mjpeg.encode_media([s.tobytes() for s in samples.reshape(8, -1)])
+    assert b"".join(s.tobytes() for s, _ in mjpeg.decode_media(data)) == samples.tobytes()
+
+
+def test_damaged_media_is_refused():
+    with pytest.raises(ValueError):
+        mjpeg.read_avi(b"RIFFxxxxWAVE")
+    with pytest.raises(ValueError):
+        mjpeg.decode_frames([b"nothing"])
+
+
+def test_shots_are_found():
+    rng = np.random.default_rng(2)
+    scene = lambda mean: np.clip(rng.normal(mean, 6, (10, 576)), 0, 255).astype(np.uint8)
+    assert mjpeg.shots(np.concatenate((scene(40), scene(200), scene(90)))) == [(0, 10), (10, 20), (20, 30)]
+    assert mjpeg.shots(scene(40)) == [(0, 10)]
+
+
+# personal data
+
+
+def brute_pii(text):
+    """The base patterns as the contract words them."""
+    spans = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            spans.append((m.start(), 1, "ip", m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m[0])
+        if 12 <= len(d) <= 19 and pii.luhn(d):
+            spans.append((m.start(), 2, "card", m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            spans.append((m.start(), 3, "phone", m.end()))
+    return [(a, b, k) for a, _, k, b in sorted(spans)]
+
+
+def test_pii_matches_patterns():
+    rng = random.Random(4)
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()]
+    pieces = ["a@b", ".c", "@", "x.", "1.2.3.4", ".5", "255", "4111 1111 1111 1111", "-", " ", "+49 (30) 1234567", "+", "()", "ü", "%", "4111111111111111", "0", "+1", "300.1.1.1", "1.2.3"]
+    texts += ["".join(rng.choices(pieces, k=rng.randint(1, 14))) for _ in range(4000)]
+    for t in texts:
+        assert [(a, b, k) for a, b, k, _ in pii.find(t) if k in pii.KINDS[:4]] == brute_pii(t), t
+
+
+def test_pii_added_kinds_and_scores():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    assert pii.mod97("DE89 3704 0044 0532 0130 00") and not pii.mod97("DE88370400440532013000")
+    kinds = lambda t: [k for _, _, k, _ in pii.find(t)]
+    assert kinds("pay to DE89370400440532013000 now") == ["iban"]
+    assert kinds("my SSN is 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == []
+    assert pii.score("card 4111", 5, 9, "card") > pii.score("serial 4111", 7, 11, "card")
+    assert pii.masked("mail a@b.co, ok") == "mail <email>, ok"
+
+
+def test_pii_takes_time_in_proportion():
+    for piece in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+" * 300_000, "+1" + " " * 300_000, "a@" * 150_000):
+        pii.find(piece)
+
+
+def test_pii_rows(spark):
+    df = R.awkward(spark)
+    got = pii.pii_digest(pii.find_pii(df)).collect()
+    assert len(got) == df.count() and {r.doc_id: r.n_email for r in got}[14] == 3
+    assert {r.doc_id: r.spans for r in got}[14] == "email:0:6,email:7:13,email:14:20"
+    assert pii.find_pii(R.empty(spark)).count() == 0
+
+
+# language ID
+
+
+def test_gradients():
+    m = langid.Model.fresh(["a", "b", "c"], hidden=4)
+    m.weights = {k: v.astype(np.float64) for k, v in m.weights.items()}
+    x, y = np.array([[97, 98, 99], [100, 101, 97]], np.uint8), np.array([0, 2])
+    grads, _ = m.gradients(x, y)
+    for k, g in grads.items():
+        for at in [np.unravel_index(abs(g).argmax(), g.shape), tuple(s // 2 for s in g.shape)]:
+            losses = []
+            for step in (1e-5, -2e-5):
+                m.weights[k][at] += step
+                losses.append(m.gradients(x, y)[1])
+            m.weights[k][at] += 1e-5
+            assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(g[at], abs=1e-7)
+
+
+def test_language_accuracy(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    truth = {r.doc_id: r for r in df.collect()}
+    assert set(got) == set(truth)
+    out = [i for i in got if got[i].held_out and re.search(r"[^\W\d_]", truth[i].text or "")]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
+    assert sum(got[i].lang_pred == truth[i].lang for i in out) >= 0.95 * len(out)
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_language_awkward(spark):
+    df = R.awkward(spark)
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    assert [got[i].lang_pred for i in (5, 6, 7, 12)] == ["und"] * 4 and got[8].lang_pred in ("en", "de")
+    kept = langid.keep_identified(df)
+    assert kept.columns == df.columns and 5 not in {r.doc_id for r in kept.collect()}
+    assert langid.identify(R.empty(spark)).count() == 0
+    unlabelled = df.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
