@@ -179,6 +179,8 @@ class Words:
 
     def learn(self, words: set[str]) -> None:
         """Evaluate the words that are not known yet."""
+        if not self.model.langs:
+            return
         new = [w for w in words if w not in self.row]
         if len(self.row) + len(new) > CACHE_WORDS:
             self._reset()
@@ -317,7 +319,12 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows whose language is found, with all their columns; ``und`` rows go."""
+    """The rows whose language is found, with all their columns; ``und`` rows go.
+
+    These have null text or no letter. Where no row is labelled, rows with a letter stay.
+    """
     model = train(training_words(df, id_col, text_col, lang_col))
     packed = df.select(F.struct(*df.columns).alias("row"), text_or_empty(text_col).alias("text"))
+    if not model.langs:
+        return packed.filter(F.col("text").rlike(r"\p{L}")).select("row.*")
     return predict(packed, model).filter(F.col("lang_pred") != UND).select("row.*")

@@ -53,7 +53,7 @@ def water_fill(sources: DataFrame, share: float = SHARE, max_epochs: float = MAX
         .withColumn("__left", F.col("__total") - F.coalesce(F.sum("__cap").over(before), F.lit(0.0)))
         .withColumn("__w", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("__level", F.when(F.col("__left") < F.col("__ratio") * F.col("__w"), F.col("__left") / F.col("__w")))
-        .withColumn("__level", F.min("__level").over(every))
+        .withColumn("__level", F.max("__level").over(every))  # of the first source below its cap
         .withColumn("target", F.least(F.col("__cap"), F.coalesce(F.col("__level") * F.col("weight"), F.col("__cap"))))
         .drop("__cap", "__ratio", "__total", "__left", "__w", "__level")
     )
@@ -181,7 +181,7 @@ WITH d AS (
   SELECT *, total - coalesce(sum(cap) OVER w, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS wrest
   FROM c WINDOW w AS (ORDER BY ratio, cap, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), v AS (
-  SELECT *, min(CASE WHEN rest < ratio * wrest THEN rest / wrest END) OVER () AS level FROM l
+  SELECT *, max(CASE WHEN rest < ratio * wrest THEN rest / wrest END) OVER () AS level FROM l
 ), t AS (
   SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM v
 ), q AS (
