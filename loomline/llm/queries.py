@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, mjpeg, ngram_join, pii, sharding, warc
+from . import bpe, exact_dedup, langid, mixing, mjpeg, ngram_join, pii, sharding, substring_dedup, warc
 
 #: The tokenizer file; a path that every executor can read.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir), digest_all=True)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_paragraphs(_documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir))
 
@@ -57,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_warc, op2_langid, op3_bpe, op4_exact_dedup, op6_mixing, op7_mjpeg, op8_ngram_join, op9_pii, op10_sharding,
+        op1_warc, op2_langid, op3_bpe, op4_exact_dedup, op5_substring_dedup, op6_mixing, op7_mjpeg, op8_ngram_join, op9_pii, op10_sharding,
     )
 }
 ORACLE_SQL = {
