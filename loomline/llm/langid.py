@@ -10,13 +10,14 @@ is backpropagation through time in numpy, on a bounded sample of labelled rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -235,25 +236,19 @@ def training_words(
 ) -> list[tuple[str, str]]:
     """(word, language) pairs of a bounded sample of labelled rows that are not held out.
 
-    Of each language the ``docs_per_lang`` rows with the smallest hash of the id are taken,
-    and of each ``words_per_doc`` words at even distances over the whole text.
+    Of each language about ``docs_per_lang`` rows are taken, those whose hash of the id falls
+    below the share that its count leaves, and of each ``words_per_doc`` words at even
+    distances over the whole text. Where ids repeat, the sample stops at four times its
+    size.
     """
     rows = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text")
+        F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("h"), F.col(text_col).alias("text")
     )
-    order = Window.partitionBy("lang").orderBy("h")
     # a row a language: bounded by the label set
-    cuts = {
-        r["lang"]: r["cut"]
-        for r in rows.select("lang", "h")
-        .withColumn("r", F.row_number().over(order))
-        .filter(F.col("r") <= docs_per_lang)
-        .groupBy("lang")
-        .agg(F.max("h").alias("cut"))
-        .collect()
-    }
-    if not cuts:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return []
+    cuts = {lang: math.ceil(min(1.0, docs_per_lang / n) * (1 << 30)) for lang, n in counts.items()}
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,8 +260,8 @@ def training_words(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
 
     cut = F.create_map(*[F.lit(x) for pair in sorted(cuts.items()) for x in pair])
-    picked = rows.filter(F.col("h") <= cut[F.col("lang")])
-    sample = picked.select("lang", "text").mapInArrow(some, "lang string, words array<string>").collect()
+    picked = rows.filter(F.col("h") < cut[F.col("lang")])
+    sample = picked.select("lang", "text").mapInArrow(some, "lang string, words array<string>").limit(4 * docs_per_lang * len(cuts)).collect()
     return sorted((w, r["lang"]) for r in sample for w in r["words"])
 
 
