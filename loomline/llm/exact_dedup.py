@@ -2,7 +2,7 @@
 
 Rows are grouped by length, then by the hash of a prefix, and only rows of groups that
 still have two members get a hash of their full content. Which rows these are is told by
-a bitmap of fixed size, so no text is shuffled to find out. Group tables hold one row a
+bitmaps of fixed size, so no row is shuffled to find out. Group tables hold one row a
 group and are built by aggregates that combine before the shuffle, so a group with a
 third of all rows costs no more than others.
 """
@@ -19,27 +19,30 @@ BITMAP_BITS = 1 << 22
 PREFIX_CHARS = 256
 
 
-def _bit(length: Column, prefix: Column) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(BITMAP_BITS)).cast("long")
+def _bit(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(BITMAP_BITS))
 
 
-def _bitmap(groups: DataFrame) -> Column:
-    """A scalar array of longs with the bit of every (len, prefix) of ``groups`` set."""
-    words = BITMAP_BITS // 64
-    bit = _bit(F.col("__len"), F.col("__prefix"))
-    ones = groups.select(
-        F.shiftright(bit, 6).alias("__w"),
-        F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__len, __prefix), {BITMAP_BITS}) & 63 as int))").alias("__v"),
-    )
-    zeros = groups.sparkSession.range(words).select(F.col("id").alias("__w"), F.lit(0).cast("long").alias("__v"))
+def _bitmap(groups: DataFrame, *key: str) -> Column:
+    """A test of the key's columns: false only for keys that are not among ``groups``.
+
+    The groups' bits are a scalar array of longs, of the same size for any input.
+    """
+    one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(key)}), {BITMAP_BITS}) & 63 as int))")
+    ones = groups.select(F.shiftright(_bit(*key), 6).alias("__w"), one.alias("__v"))
+    zeros = groups.sparkSession.range(BITMAP_BITS // 64).select(F.col("id").alias("__w"), F.lit(0).cast("long").alias("__v"))
     dense = ones.unionByName(zeros).groupBy("__w").agg(F.bit_or("__v").alias("__v"))
-    return dense.agg(F.expr("transform(array_sort(collect_list(struct(__w, __v))), x -> x.__v)").alias("m")).scalar()
+    words = dense.agg(F.expr("transform(array_sort(collect_list(struct(__w, __v))), x -> x.__v)").alias("m")).scalar()
+    return F.element_at(words, (F.shiftright(_bit(*key), 6) + 1).cast("int")).bitwiseAND(one) != F.lit(0)
 
 
 def _signed(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` with __norm, __len and __prefix."""
+    """``df`` with __norm, __len and __prefix. The one-element explode keeps the planner from
+    computing the normalised text again for each use."""
     return (
-        df.withColumn("__norm", one_space(text_col))
+        df.withColumn("__once", F.array(one_space(text_col)))
+        .withColumn("__norm", F.explode("__once"))
+        .drop("__once")
         .withColumn("__len", F.length("__norm"))
         .withColumn("__prefix", F.xxhash64(F.substring("__norm", 1, PREFIX_CHARS)))
     )
@@ -53,18 +56,10 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     condition on __len and __prefix.
     """
     thin = materialize(_signed(df, text_col).select("__len", "__prefix"), "dedup-thin")
-    by_length = thin.groupBy("__len").agg(F.count("*").alias("__n")).filter("__n > 1").select("__len")
-    by_prefix = (
-        thin.join(by_length, "__len")
-        .groupBy("__len", "__prefix")
-        .agg(F.count("*").alias("__n"))
-        .filter("__n > 1")
-    )
-    bitmap = _bitmap(materialize(by_prefix.select("__len", "__prefix"), "dedup-prefixes"))
-    bit = _bit(F.col("__len"), F.col("__prefix"))
-    survives = F.element_at(bitmap, (F.shiftright(bit, 6) + 1).cast("int")).bitwiseAND(
-        F.expr(f"shiftleft(1L, cast(pmod(xxhash64(__len, __prefix), {BITMAP_BITS}) & 63 as int))")
-    ) != F.lit(0)
+    by_length = thin.groupBy("__len").agg(F.count("*").alias("__n")).filter("__n > 1")
+    long_enough = _bitmap(materialize(by_length.select("__len"), "dedup-lengths"), "__len")
+    by_prefix = thin.filter(long_enough).groupBy("__len", "__prefix").agg(F.count("*").alias("__n")).filter("__n > 1")
+    survives = _bitmap(materialize(by_prefix.select("__len", "__prefix"), "dedup-prefixes"), "__len", "__prefix")
     hashed = (
         _signed(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text")
         .filter(survives)

@@ -48,6 +48,13 @@ def test_exact_dedup(spark):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(x[0] for x in brute_dedup(docs) if x[3])
 
 
+def test_exact_dedup_looks_beyond_the_prefix(spark):
+    head = "same words " * 40
+    docs = [(1, head + "a"), (2, head + "b"), (3, head + "a"), (4, head[:-1] + "\t" + "a"), (5, head)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, exact_dedup.exact_dedup(df, digest_all=True).collect()), key=str) == brute_dedup(docs)
+
+
 def test_exact_dedup_empty(spark):
     assert exact_dedup.exact_dedup(R.empty(spark)).count() == 0
     assert exact_dedup.drop_exact_duplicates(R.empty(spark)).count() == 0
