@@ -39,7 +39,7 @@ def mutual_information(x: np.ndarray, y: np.ndarray, k: int = NEIGHBOURS) -> flo
             lo, hi = np.arange(len(own)) - a, np.arange(len(own)) - a + kk
             ok = (lo >= 0) & (hi < len(own))
             d[ok] = np.minimum(d[ok], np.maximum(own[ok] - own[lo[ok]], own[hi[ok]] - own[ok]))
-        radius = np.nextafter(d, 0)
+        radius = d * (1 - 1e-9)  # neighbours at the distance itself do not count
         m = np.searchsorted(every, own + radius, "right") - np.searchsorted(every, own - radius, "left")
         terms.append((len(own), digamma(np.array([kk]))[0], digamma(np.array([len(own)]))[0], digamma(np.maximum(m, 1)).sum()))
     n = sum(t[0] for t in terms)

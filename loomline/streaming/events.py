@@ -17,9 +17,15 @@ CHAIN_SCHEMA = "key string, block_index int, ts timestamp, accepted boolean, pre
 _STATE = "last_index int, last_ts timestamp, last_hash string"
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """The time as an instant, with a watermark on a stream."""
+    rows = events.withColumn(time, F.col(time).cast("timestamp"))
+    return rows.withWatermark(time, late) if rows.isStreaming else rows
+
+
 def window_stats(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", time: str = "ts", by: str = "event_type", value: str = "value") -> DataFrame:
     """Counts and sums per tumbling window and key; rows later than the watermark are dropped by the engine."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _timed(events, time, late)
     return (
         rows.groupBy(F.window(time, width).alias("w"), by)
         .agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
@@ -29,7 +35,7 @@ def window_stats(events: DataFrame, width: str = "1 hour", late: str = "10 minut
 
 def session_stats(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", time: str = "ts", by: str = "user_id") -> DataFrame:
     """Sessions of each key: a session ends where the gap to the next event is longer."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = _timed(events, time, late)
     return (
         rows.groupBy(F.session_window(time, gap).alias("w"), by)
         .agg(F.count("*").alias("n"))
@@ -68,4 +74,4 @@ def keyed_chain(events: DataFrame, key: str, time: str = "ts") -> DataFrame:
             state.update((index, pd.Timestamp(last).to_pydatetime(), digest))
         yield pd.DataFrame(rows, columns=["key", "block_index", "ts", "accepted", "previous_hash", "block_hash"])
 
-    return events.select(key, time).groupBy(key).applyInPandasWithState(append, CHAIN_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, F.col(time).cast("timestamp").alias(time)).groupBy(key).applyInPandasWithState(append, CHAIN_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
