@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -18,6 +19,7 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from ._common import text_or_empty
 
 #: Words in a generation of the words whose ids a worker remembers.
 CACHE_WORDS = 300_000
+#: Bytes of text whose ids are held at a time; a longer text is a part of its own.
+PART_BYTES = 2 << 20
 _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -179,22 +183,36 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     each get a row. Other columns are ignored.
     """
 
+    def encoded(part: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:
+        counts, id_sums, text_sums, kept = [], [], [], array("i")
+        for value in part.column(1):
+            ids = codec.encode(value.as_py())
+            packed = array("I", ids)
+            counts.append(len(ids))
+            id_sums.append(hashlib.sha256(packed.tobytes()).hexdigest())
+            text_sums.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
+            if keep_ids:
+                kept.frombytes(packed.tobytes())
+        columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if keep_ids:
+            ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+            values = pa.Array.from_buffers(pa.int32(), len(kept), [None, pa.py_buffer(kept.tobytes())])
+            columns, names = [*columns, pa.ListArray.from_arrays(ends, values)], [*names, "ids"]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary)
         for batch in batches:
-            counts, id_sums, text_sums, kept = [], [], [], []
-            for value in batch.column(1):
-                ids = codec.encode(value.as_py())
-                counts.append(len(ids))
-                id_sums.append(hashlib.sha256(array("I", ids).tobytes()).hexdigest())
-                text_sums.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
-                if keep_ids:
-                    kept.append(ids)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns, names = [*columns, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            sizes = pc.binary_length(batch.column(1)).to_pylist()
+            start = held = 0
+            for at, n in enumerate(sizes):
+                if at > start and held + n > PART_BYTES:
+                    yield encoded(batch.slice(start, at - start), codec)
+                    start, held = at, 0
+                held += n
+            if start < len(sizes):
+                yield encoded(batch.slice(start), codec)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(
