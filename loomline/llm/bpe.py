@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import text_or_empty
 
 #: Words in a generation of the words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Bytes of text whose ids are held at a time; a longer text is a part of its own.
 PART_BYTES = 2 << 20
 _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")

@@ -30,7 +30,7 @@ HIDDEN, EPOCHS, BATCH, RATE = 16, 3, 256, 0.01
 #: Bytes after which the state starts anew within a word.
 PIECE = 32
 #: Words whose sums a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 UND = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
