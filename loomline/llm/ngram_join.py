@@ -94,12 +94,27 @@ class Bander:
         ]
 
 
-def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def prefix(grams: np.ndarray, threshold: float) -> list[int]:
+    """The least n-grams of a set, so many that sets at the threshold have one of these in common."""
+    keep = len(grams) - math.ceil(threshold * len(grams) - 1e-9) + 1
+    return (grams[:keep] ^ np.uint64(1 << 63)).view(np.int64).tolist()
+
+
+def signatures(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, bands: int = BANDS, rows: int = ROWS,
+    prefix_upto: int = 0, threshold: float = THRESHOLD,
+) -> DataFrame:
     """(doc_id, node, grams, bands) of each row: its class, its number of n-grams, its bands.
 
-    A text without words has no n-grams and no bands.
+    A text without words has no n-grams and no bands. Sets of at most ``prefix_upto`` n-grams
+    have a prefix, which misses no pair, in place of bands; larger sets that can link to
+    these have both.
     """
 
+    def keys(grams: np.ndarray, band: Bander) -> list[int]:
+        found = prefix(grams, threshold) if 0 < len(grams) * threshold <= prefix_upto else []
+        return found if len(grams) <= prefix_upto else found + band(grams)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, band = Shingler(n), Bander(bands, rows)
         for batch in batches:
@@ -107,7 +122,7 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
             for text in batch.column(2):
                 grams = shingle(text.as_py())
                 sizes.append(len(grams))
-                out.append(band(grams) if len(grams) else [])
+                out.append(keys(grams, band) if len(grams) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
                 names=["doc_id", "node", "grams", "bands"],
@@ -267,12 +282,14 @@ def _verify(threshold: float):
     return run
 
 
-def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def near_classes(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, prefix_upto: int = 0
+) -> tuple[DataFrame, DataFrame]:
     """``(rows, nodes)``: (doc_id, node, grams) of each row, and of each class that has more than
     one row or a link (node, component, copies, links, class_id). links counts rows of other
     classes."""
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(signatures(source), "join-signatures")
+    rows = materialize(signatures(source, prefix_upto=prefix_upto, threshold=threshold), "join-signatures")
     classes = rows.groupBy("node").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max("grams").alias("grams"), F.first("bands").alias("bands")
     )

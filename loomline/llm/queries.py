@@ -35,7 +35,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_paragraphs(_documents(spark, sf_dir))
+    return substring_dedup.repeats(_documents(spark, sf_dir))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,15 @@
-"""Substring deduplication: paragraphs that repeat within and across documents.
+"""Substring deduplication: paragraphs and passages that repeat within and across documents.
 
 Texts are cut at line feeds. Paragraphs of enough words get MinHash bands tuned for high
 recall, paragraphs that collide are joined, their exact Jaccard similarity on five-word
 n-grams is verified, and components of links decide what is removed: of each component the
 first paragraph stays. The work on bands, blocks and components is that of ``ngram_join``,
 with paragraphs in place of documents.
+
+Passages are runs of words wherever lines end. Of each text's word windows of ``ANCHOR``
+words a share is chosen by content (winnowing: the least hash of so many neighbours), such
+that equal passages of ``PASSAGE`` words have a chosen one in common. Where a chosen window
+repeats, all windows of ``PASSAGE`` words around it are compared.
 """
 
 from __future__ import annotations
@@ -12,15 +17,23 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ngram_join
-from ._common import WORD, materialize, text_or_empty
+from ._common import WORD, materialize, one_space, text_or_empty
 
 #: Words that a paragraph must have to be compared.
 MIN_WORDS = 50
+#: Words of the least passage, and of the windows that are chosen to find it.
+PASSAGE, ANCHOR = 50, 25
+#: Sets of so many n-grams or fewer, as of paragraphs up to 100 words, are found by prefix.
+PREFIX_UPTO = 96
+_STEP = 0x9E3779B97F4A7C15
+_WORD_CACHE = 300_000
 _WORDS = re.compile(WORD)
 
 
@@ -72,7 +85,8 @@ def repeated_paragraphs(
     rows = materialize(
         paragraphs(df, id_col, text_col, min_words).withColumn("node", ngram_join.class_key("text")), "paragraphs"
     )
-    _, nodes = ngram_join.near_classes(rows.select("doc_id", "text"), threshold=threshold)
+    upto = PREFIX_UPTO if min_words < MIN_WORDS else 0
+    _, nodes = ngram_join.near_classes(rows.select("doc_id", "text"), threshold=threshold, prefix_upto=upto)
     placed = rows.select("doc_id", "para", "start", "end", "node").join(
         nodes.select(F.col("node").alias("node_"), "component"), F.col("node") == F.col("node_")
     )
@@ -88,6 +102,148 @@ def repeated_paragraphs(
     )
 
 
+class _Windows:
+    """64-bit hashes of a list of words' windows of any length."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def sums(self, words: list[str]) -> np.ndarray:
+        known = self.words
+        if len(known) > _WORD_CACHE:
+            known.clear()
+        hashes = []
+        for w in words:
+            if (h := known.get(w)) is None:
+                h = known[w] = xxhash.xxh3_64_intdigest(w)
+            hashes.append(h)
+        if len(self.powers) <= len(words):
+            n = 2 * len(words)
+            self.powers, self.inverses = (np.cumprod(np.array([1, *[p] * n], np.uint64)) for p in (_STEP, pow(_STEP, -1, 1 << 64)))
+        x = np.array(hashes, np.uint64) * self.powers[: len(words)]
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
+
+    def __call__(self, sums: np.ndarray, length: int) -> np.ndarray:
+        x = (sums[length:] - sums[:-length]) * self.inverses[: len(sums) - length]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, place, hash) of the chosen windows of (key, text of single spaces)."""
+    windows = _Windows()
+    for batch in batches:
+        keys, places, hashes = [], [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            words = text.as_py().split(" ")
+            if len(words) < PASSAGE:
+                continue
+            h = windows(windows.sums(words), ANCHOR)
+            near = np.lib.stride_tricks.sliding_window_view(h, PASSAGE - ANCHOR + 1)
+            at = np.unique(near.argmin(axis=1) + np.arange(len(near)))
+            keys.append(np.full(len(at), key, np.int64))
+            places.append(at.astype(np.int32))
+            hashes.append(h[at].view(np.int64))
+        if keys:
+            columns = [pa.array(np.concatenate(c)) for c in (keys, places, hashes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "place", "hash"])
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, place, para, start, end, hash) of each window of PASSAGE words that holds one of
+    the places of (key, text, places)."""
+    windows = _Windows()
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    names = ["key", "place", "para", "start", "end", "hash"]
+    for batch in batches:
+        for key, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            text = text.as_py()
+            found = list(_WORDS.finditer(text))
+            h = windows(windows.sums([m[0] for m in found]), PASSAGE)
+            at = np.array(places.as_py())[:, None] - np.arange(PASSAGE - ANCHOR + 1)
+            at = np.unique(at[(at >= 0) & (at < len(h))])
+            start = np.array([m.start() for m in found])[at]
+            end = np.array([m.end() for m in found])[at + PASSAGE - 1]
+            breaks = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
+            columns = [[key] * len(at), at, np.searchsorted(breaks, start), start, end, h[at].view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, para, start, end) of each text of (doc_id, key, text) that has PASSAGE words, from its first word to its last."""
+    kinds = [pa.int64()] * 5
+    for batch in batches:
+        out = []
+        for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            text = text.as_py()
+            if len(text) >= 2 * PASSAGE - 1 and len(words := list(_WORDS.finditer(text))) >= PASSAGE:
+                out.append((doc_id, key, text.count("\n", 0, words[0].start()), words[0].start(), words[-1].end()))
+        columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "para", "start", "end"])
+
+
+def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each run of ``PASSAGE`` words or more that repeats, in its own text or another.
+
+    Columns are those of ``repeated_paragraphs``; para and class_para are the lines in which
+    the passage and its first copy (by id, null ids last, then place) start. A text that other
+    documents have as a whole is one passage of each of them, and its parts that other texts
+    have are told of its first document alone. A run ends where its windows' first copies no
+    longer follow each other, so rows of a text can overlap; n_in_class is the number of copies
+    of the run's most frequent window. Rows of ``df`` that repeat with their id count as one
+    document.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    chosen = rows.select("key", F.trim(one_space("text")).alias("text")).mapInArrow(_anchors, "key long, place int, hash long")
+    chosen = materialize(chosen, "passage-anchors")
+    again = chosen.groupBy(F.col("hash").alias("h")).agg(F.min(F.struct("key", "place")).alias("a"), F.max(F.struct("key", "place")).alias("b"))
+    places = chosen.join(again.filter("a <> b").select("h"), F.col("hash") == F.col("h")).groupBy(F.col("key").alias("k")).agg(F.collect_set("place").alias("places"))
+    places = materialize(places, "passage-places")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"))
+    owners = rows.select("doc_id", "key").distinct().groupBy(F.col("key").alias("k")).agg(F.min(order).alias("owner"), F.count("*").alias("copies"))
+    owners = materialize(owners.select("k", F.col("owner.z").alias("z"), F.col("owner.id").alias("owner"), "copies"), "passage-owners")
+
+    # texts as wholes
+    several = owners.filter("copies > 1")
+    marked = rows.withColumn("node", F.col("key")).filter(ngram_join._marked(several.select(F.col("k").alias("node"))))
+    whole = marked.select("doc_id", "key", "text").mapInArrow(_whole, "doc_id long, key long, para long, start long, end long").distinct()
+    whole = whole.join(several, F.col("key") == F.col("k")).select(
+        "doc_id", "para", "start", "end", F.col("owner").alias("class_id"), F.col("para").alias("class_para"), F.col("copies").alias("n_in_class"),
+        (~F.col("doc_id").eqNullSafe(F.col("owner"))).alias("removed"),
+    )
+
+    # parts of different texts, and of one text
+    marked = rows.withColumn("node", F.col("key")).filter(ngram_join._marked(places.select(F.col("k").alias("node"))))
+    texts = marked.select("key", "text").join(places, F.col("key") == F.col("k")).groupBy("key").agg(F.first("text").alias("text"), F.first("places").alias("places"))
+    around = texts.mapInArrow(_around, "key long, place int, para int, start int, end int, hash long")
+    around = materialize(around.join(owners, F.col("key") == F.col("k")).drop("k"), "passage-windows")
+    order = F.struct("z", F.col("owner").alias("id"), "key", "place", "para")
+    firsts = around.groupBy(F.col("hash").alias("h")).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.sum("copies").alias("n"))
+    found = around.join(firsts.filter("first <> last"), F.col("hash") == F.col("h")).select(
+        "key", "owner", "place", "para", "start", "end", "n", F.col("first.id").alias("class_id"), F.col("first.key").alias("first_key"),
+        F.col("first.para").alias("class_para"), (F.col("first.place") - F.col("place")).alias("shift"),
+    )
+    each = Window.partitionBy("key", "first_key", "shift").orderBy("place")
+    runs = found.withColumn("run", F.col("place") - F.row_number().over(each)).groupBy("key", "first_key", "shift", "run").agg(
+        F.first("owner").alias("doc_id"), F.min("para").cast("long").alias("para"), F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"),
+        F.first("class_id").alias("class_id"), F.min("class_para").cast("long").alias("class_para"), F.max("n").alias("n_in_class"),
+    )
+    stays = (F.col("key") == F.col("first_key")) & (F.col("shift") == 0)
+    parts = runs.select("doc_id", "para", "start", "end", "class_id", "class_para", "n_in_class", (~stays).alias("removed"))
+    return parts.unionByName(whole)
+
+
+def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All that repeats: near copies of paragraphs of a shingle's words or more, and passages
+    across line ends. kind tells which a row is; a text's rows of the two kinds can overlap."""
+    passages = materialize(repeated_passages(df, id_col, text_col).withColumn("kind", F.lit("passage")), "passages")
+    df.sparkSession._jvm.System.gc()  # the cleaner drops the shuffles of plans that nothing refers to
+    return repeated_paragraphs(df, id_col, text_col, min_words=ngram_join.N).withColumn("kind", F.lit("paragraph")).unionByName(passages)
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``df`` with removed paragraphs cut out of their texts, all columns kept."""
     gone = repeated_paragraphs(df, id_col, text_col, **options).filter("removed")

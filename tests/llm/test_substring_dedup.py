@@ -71,3 +71,63 @@ def test_driver_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs = [(r.doc_id, r.text) for r in df.collect()]
     assert sorted(map(tuple, D.repeated_paragraphs(df).collect()), key=str) == brute(docs)
+
+
+def windows_twice(docs, n=50):
+    """{(row, first word)} of the windows of n words that are in two places."""
+    at = {}
+    for k, (_, t) in enumerate(docs):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for i in range(len(w) - n + 1):
+            at.setdefault(tuple(w[i : i + n]), []).append((k, i))
+    return {x for places in at.values() if len(places) > 1 for x in places}
+
+
+def covered(docs, found):
+    """The same of rows of passages."""
+    out = set()
+    for k, (i, t) in enumerate(docs):
+        words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        for r in found:
+            if r.doc_id == i:
+                inside = [j for j, (a, b) in enumerate(words) if r.start <= a and b <= r.end]
+                assert (words[inside[0]][0], words[inside[-1]][1]) == (r.start, r.end) and t.count("\n", 0, r.start) == r.para
+                out |= {(k, j) for j in inside[: len(inside) - 49]}
+    return out
+
+
+def test_passages_in_and_across_lines(spark):
+    rng = random.Random(9)
+    shared = [R.words(rng, n) for n in (49, 50, 51, 64, 90)]
+    docs = []
+    for i in range(40):
+        w = R.words(rng, rng.randint(20, 120))
+        for p in rng.sample(shared, rng.randint(0, 2)):
+            at = rng.randint(0, len(w))
+            w[at:at] = p
+        docs.append((i, "".join(x + rng.choice(("\n", " ", " ", " ", "  ")) for x in w)))
+    docs += [(90, " ".join(shared[3] + ["mid"] + shared[3])), (91, None), (92, ""), (None, docs[0][1])]
+    df = spark.createDataFrame([*docs, docs[3]], "doc_id long, text string")
+    got = D.repeated_passages(df).collect()
+    assert windows_twice(docs) == covered(docs, got) != set()
+    assert {r.removed for r in got if r.doc_id == 90} == {True}
+    assert len({(r.doc_id, r.start, r.end, r.class_id, r.class_para) for r in got}) == len(got)
+    assert D.repeated_passages(R.empty(spark)).count() == 0 and D.repeats(R.awkward(spark)).count() > 0
+
+
+def test_all_lengths_of_driver_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in df.collect()]
+    got = D.repeats(df).collect()
+    paras = sorted((tuple(r)[:-1] for r in got if r.kind == "paragraph"), key=str)
+    assert paras == brute(docs, 5)
+    assert covered(docs, [r for r in got if r.kind == "passage"]) == windows_twice(docs)
+
+
+def test_short_paragraphs(spark):
+    rng = random.Random(10)
+    lines = [x for n in (5, 8, 14, 30, 49, 95, 101, 120) for x in near_copies(rng, 6, n, 1)]
+    lines += [" ".join(R.words(rng, n)) for n in (1, 4, 4, 6, 20)] + ["one two three four", "one two three four"]
+    docs = [(i, "\n".join(rng.sample(lines, 3))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(map(tuple, D.repeated_paragraphs(df, min_words=5).collect()), key=str) == brute(docs, 5)
