@@ -37,7 +37,17 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+))")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+#: Registered lengths by country.
+_IBAN_LENGTH = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 "
+        "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IS26 IT27 JO30 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 "
+        "MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VG24 XK20"
+    ).split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _UP = {k: re.compile(v[1], re.I) for k, v in SCORES.items()}
 _DOWN = {k: re.compile(v[2], re.I) for k, v in SCORES.items()}
@@ -100,10 +110,29 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-def _added(text: str) -> Iterator[tuple[int, int, str]]:
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A run can reach into the next words: of each start the valid part up to the end of a word,
+    the one of the country's length first and then the longest."""
+    last = 0
     for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield *m.span(), "iban"
+        start, end = m.span(1)
+        if start < last:
+            continue
+        ends = []
+        while end > start and (size := end - start - text.count(" ", start, end)) >= 15:
+            if text[end : end + 1] not in _ALNUM:
+                ends.append((size != _IBAN_LENGTH.get(text[start : start + 2]), -end))
+            end = text.rfind(" ", start, end)
+        for _, end in sorted(ends):
+            if mod97(text[start:-end]):
+                last = -end
+                yield start, last
+                break
+
+
+def _added(text: str) -> Iterator[tuple[int, int, str]]:
+    for a, b in ibans(text):
+        yield a, b, "iban"
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield *m.span(), "ssn"

@@ -311,6 +311,18 @@ def test_pii_added_kinds_and_scores():
     assert pii.masked("mail a@b.co, ok") == "mail <email>, ok"
 
 
+def test_pii_iban_before_capital_or_digit():
+    one, four = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+    for iban in (one, four, "GB82 WEST 1234 5698 7654 32", "NO9386011117947"):
+        for after in (" Please pay", " Bank", " 12 items", " A", " 7", " AB12 CD34", ", Bank", "", " " + "A1 " * 40):
+            text = f"IBAN {iban}{after}"
+            assert [text[a:b] for a, b, k, _ in pii.find(text) if k == "iban"] == [iban], text
+    text = f"IBAN {four} {one} Bank"
+    assert [text[a:b] for a, b, k, _ in pii.find(text) if k == "iban"] == [four, one]
+    assert not [x for x in pii.find(f"IBAN {one}x Bank, {one[:-1]}1 Bank") if x[2] == "iban"]
+    pii.find("DE89 " * 60_000)
+
+
 def test_pii_takes_time_in_proportion():
     for piece in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+" * 300_000, "+1" + " " * 300_000, "a@" * 150_000):
         pii.find(piece)
