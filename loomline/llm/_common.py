@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +46,50 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of the largest bitmap that tells members of a table of keys: 4 MB.
+MOST_BITS = 1 << 25
+
+
+def marked(keys: DataFrame, *cols: str) -> Column:
+    """A test of columns ``cols``: false only for rows whose values are not among ``keys``.
+
+    ``keys`` is a written table that has these columns. Its bits, sixteen for each of its
+    rows up to MOST_BITS, are a scalar array of longs. A full bitmap passes more rows, so
+    whoever asks joins exactly afterwards.
+    """
+    spark = keys.sparkSession
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * keys.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(*cols), F.lit(bits))
+    word, one = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(cols)}), {bits}) & 63 as int))")
+    zeros = spark.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
+    dense = keys.select(word.alias("w"), one.alias("v")).unionByName(zeros).groupBy("w").agg(F.bit_or("v").alias("v"))
+    bitmap = dense.agg(F.expr("transform(array_sort(collect_list(struct(w, v))), x -> x.v)").alias("m")).scalar()
+    return F.element_at(bitmap, (word + 1).cast("int")).bitwiseAND(one) != F.lit(0)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files
+    of plans that nothing refers to."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def tidy() -> None:
+    """Give the memory of a worker's finished task back to the system: workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_or_empty(col: str | Column) -> Column:
     col = F.col(col) if isinstance(col, str) else col
     return F.coalesce(col.cast("string"), F.lit(""))
