@@ -2,7 +2,7 @@
 
 Rows are grouped by length, then by the hash of a prefix, and only rows of groups that
 still have two members get a hash of their full content. Which rows these are is told by
-bitmaps of fixed size, so no row is shuffled to find out. Group tables hold one row a
+bitmaps that grow with the groups up to a bound, so no row is shuffled to find out. Group tables hold one row a
 group and are built by aggregates that combine before the shuffle, so a group with a
 third of all rows costs no more than others.
 """
@@ -12,30 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, one_space
+from ._common import discard, marked, materialize, one_space
 
-#: Bits of the bitmap of surviving groups. A full bitmap only costs extra hashing.
-BITMAP_BITS = 1 << 22
 PREFIX_CHARS = 256
 
 
-def _bit(*key: str) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(BITMAP_BITS))
-
-
-def _bitmap(groups: DataFrame, *key: str) -> Column:
-    """A test of the key's columns: false only for keys that are not among ``groups``.
-
-    The groups' bits are a scalar array of longs, of the same size for any input.
-    """
-    one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({', '.join(key)}), {BITMAP_BITS}) & 63 as int))")
-    ones = groups.select(F.shiftright(_bit(*key), 6).alias("__w"), one.alias("__v"))
-    zeros = groups.sparkSession.range(BITMAP_BITS // 64).select(F.col("id").alias("__w"), F.lit(0).cast("long").alias("__v"))
-    dense = ones.unionByName(zeros).groupBy("__w").agg(F.bit_or("__v").alias("__v"))
-    words = dense.agg(F.expr("transform(array_sort(collect_list(struct(__w, __v))), x -> x.__v)").alias("m")).scalar()
-    return F.element_at(words, (F.shiftright(_bit(*key), 6) + 1).cast("int")).bitwiseAND(one) != F.lit(0)
-
-
 def _signed(df: DataFrame, text_col: str) -> DataFrame:
     """``df`` with __norm, __len and __prefix. The one-element explode keeps the planner from
     computing the normalised text again for each use."""
@@ -57,9 +38,9 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     thin = materialize(_signed(df, text_col).select("__len", "__prefix"), "dedup-thin")
     by_length = thin.groupBy("__len").agg(F.count("*").alias("__n")).filter("__n > 1")
-    long_enough = _bitmap(materialize(by_length.select("__len"), "dedup-lengths"), "__len")
+    long_enough = marked(materialize(by_length.select("__len"), "dedup-lengths"), "__len")
     by_prefix = thin.filter(long_enough).groupBy("__len", "__prefix").agg(F.count("*").alias("__n")).filter("__n > 1")
-    survives = _bitmap(materialize(by_prefix.select("__len", "__prefix"), "dedup-prefixes"), "__len", "__prefix")
+    survives = marked(materialize(by_prefix.select("__len", "__prefix"), "dedup-prefixes"), "__len", "__prefix")
     hashed = (
         _signed(df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text")
         .filter(survives)
@@ -76,7 +57,9 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .filter("group_size > 1")
         .select("__sha", F.col("m.id").alias("keep_id"), "group_size", F.col("m.n").alias("__at_min"))
     )
-    return materialize(groups, "dedup-groups"), survives
+    groups = materialize(groups, "dedup-groups")
+    discard(thin)
+    return groups, survives
 
 
 def _one_of_ties(rows: DataFrame) -> DataFrame:
@@ -133,22 +116,23 @@ def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``df`` that stay, with all their columns.
 
     Only rows that may have a copy pass through a shuffle. Ties and nulls as in
-    :func:`exact_dedup`.
+    :func:`exact_dedup`; columns of any name come through as they are.
     """
-    groups, survives = duplicate_groups(df, id_col, text_col)
-    signed = _signed(df, text_col)
-    alone = signed.filter(~survives).select(df.columns)
-    rows = signed.filter(survives).withColumn("__sha", F.sha2("__norm", 256)).withColumn("__id", F.col(id_col))
-    renamed = groups.select("__sha", F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"), "__at_min")
+    packed = df.select(F.struct(*df.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    groups, survives = duplicate_groups(packed, "__id", "__text")
+    signed = _signed(packed, "__text")
+    alone = signed.filter(~survives).select("__row")
+    rows = signed.filter(survives).select("__row", "__id", F.sha2("__norm", 256).alias("__sha"))
+    renamed = groups.select(F.col("__sha").alias("__key"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"), "__at_min")
     kept = (
-        rows.join(renamed, "__sha", "left")
+        rows.join(renamed, F.col("__sha") == F.col("__key"), "left")
         .withColumn("__kept", F.col("__size").isNull() | F.col("__id").eqNullSafe(F.col("__keep")))
         .withColumn("__at_min", F.coalesce("__at_min", F.lit(1)))
         .filter("__kept")
     )
     if not groups.filter("__at_min > 1").isEmpty():
         kept = _one_of_ties(materialize(kept, "dedup-ties")).filter("__kept")
-    return alone.unionByName(kept.select(df.columns))
+    return alone.unionByName(kept.select("__row")).select("__row.*")
 
 
 ORACLE_SQL = r"""

@@ -22,7 +22,6 @@ from ._common import WORD, hash60, materialize, text_or_empty
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
-BUCKETS = 1024
 SEED = 7
 
 
@@ -136,7 +135,10 @@ def mixed_rows(
 
     Documents stay whole: the row at the edge of a source's target is taken if that comes
     nearer to it. The decision of a row depends on its source and its seeded hash alone,
-    so the texts are not shuffled; the table of sources has one row a source.
+    so the texts are not shuffled; the table of sources has one row a source. Nulls as in
+    ``mix``: a null source is a source, rows with a null or repeated id are taken together,
+    and a text without words is taken as often as its source's order says. An empty table
+    gives an empty table; columns of any name come through as they are.
     """
     sized = materialize(
         df.select(
@@ -154,15 +156,14 @@ def mixed_rows(
         ),
         "mix-plan",
     ).withColumnRenamed("source", "__source")
-    times = F.coalesce("__whole", F.lit(0)) + F.when(
-        hash60(F.lit(seed), F.col(id_col)) <= F.col("__cut"), 1
-    ).otherwise(0)
+    times = F.coalesce("__whole", F.lit(0)) + F.when(F.col("__h") <= F.col("__cut"), 1).otherwise(0)
+    packed = df.select(
+        F.struct(*df.columns).alias("row"), F.col(source_col).cast("string").alias("__of"), hash60(F.lit(seed), F.col(id_col)).alias("__h")
+    )
     return (
-        df.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col("__source")), "left")
-        .withColumn("__times", times.cast("int"))
-        .filter("__times > 0")
-        .withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-        .select(df.columns)
+        packed.join(plan, F.col("__of").eqNullSafe(F.col("__source")), "left")
+        .select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
+        .select("row.*")
     )
 
 
