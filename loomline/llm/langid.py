@@ -1,15 +1,15 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads the letters of a word as UTF-8 bytes in both directions and labels every
-byte position with probabilities over the languages. Its state starts anew at each word, so
-a position's label depends on its word alone; distinct words are evaluated once and their
-sums remembered. A document's probabilities are the mean over all its positions. Training
-is backpropagation through time in numpy, on a bounded sample of labelled rows.
+A text is read as UTF-8 bytes of its lower-case letters, with one space for whatever stands
+between them. The network runs over windows of the text in both directions, keeps its state
+across the gaps between words, and labels every byte position, gaps too, with probabilities
+over the languages. A document's probabilities are the mean over the positions of all its
+windows. Training is backpropagation through time in numpy, on a bounded sample of labelled
+rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -19,20 +19,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import text_or_empty
+from ._common import text_or_empty, tidy
 
-#: Bounds of the training sample: documents a language and words a document, which are
+#: Bounds of the training sample: documents a language and windows a document, which are
 #: spread over the whole text.
-DOCS_PER_LANG, WORDS_PER_DOC = 300, 80
-HIDDEN, EPOCHS, BATCH, RATE = 16, 3, 256, 0.01
-#: Bytes after which the state starts anew within a word.
-PIECE = 32
-#: Words whose sums a worker remembers.
-CACHE_WORDS = 150_000
+DOCS_PER_LANG, WINDOWS_PER_DOC = 300, 8
+HIDDEN, EPOCHS, BATCH, RATE = 16, 3, 64, 0.01
+#: Bytes of a window in prediction and in training; the state starts anew with each window.
+WINDOW, TRAIN_WINDOW = 128, 64
+#: Windows that are evaluated together.
+TOGETHER = 1024
 UND = "und"
-_WORD = re.compile(r"[^\W\d_]+")
+_GAP = re.compile(r"[\W\d_]+")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -57,9 +56,6 @@ class Model:
         w["c"] = np.zeros(len(langs))
         return cls(langs, {k: v.astype(np.float32) for k, v in w.items()})
 
-    def key(self) -> str:
-        return hashlib.sha256(b"".join(self.weights[k].tobytes() for k in sorted(self.weights))).hexdigest()
-
     def _states(self, x: np.ndarray, d: str, tape: list | None) -> np.ndarray:
         """The states of one direction after each position, shape (length, words, hidden)."""
         wx, u = self.weights["x" + d], self.weights["u" + d]
@@ -119,20 +115,87 @@ class Model:
             grads["x" + d], grads["u" + d] = dx, du
         return grads, loss
 
+    def pooled(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each window the sum of its positions' probabilities, shape (windows, languages).
 
-def _pieces(word: str) -> list[bytes]:
-    data = "".join(filter(str.isalpha, word)).encode("utf-8")
-    return [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
-
-
-def train(words: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 0) -> Model:
-    """Fit a model to (word, language) pairs with Adam. Each language weighs the same."""
-    langs = sorted({lang for _, lang in words})
+        ``x`` is (windows, WINDOW) bytes, of which the first ``sizes`` of each are read. The
+        same as summing ``positions`` of each window alone; here a feature is a row, so that
+        all windows advance a position in one step.
+        """
+        n, length = x.shape
+        xt = np.ascontiguousarray(x.T)
+        on = (np.arange(length)[:, None] < sizes).astype(np.float32)
+        short = int(sizes.min(initial=length))
+        k = len(self.weights["uf"])
+        out, c = np.ascontiguousarray(self.weights["o"].T), self.weights["c"][:, None]
+
+        def run(d: str, steps: range) -> Iterator[tuple[int, np.ndarray]]:
+            wx, u = np.ascontiguousarray(self.weights["x" + d].T), np.ascontiguousarray(self.weights["u" + d].T)
+            h = np.zeros((k, n), np.float32)
+            for t in steps:
+                a, g = np.take(wx, xt[t], axis=1), u @ h
+                zr = a[: 2 * k]
+                zr += g[: 2 * k]
+                zr *= 0.5
+                np.tanh(zr, out=zr)
+                zr *= 0.5
+                zr += 0.5
+                new = g[2 * k :]
+                new *= zr[k:]
+                new += a[2 * k :]
+                np.tanh(new, out=new)
+                h -= new
+                h *= zr[:k]
+                h += new
+                if t >= short:
+                    h *= on[t]  # a window's state is zero beyond its end
+                yield t, h
+
+        ahead = np.empty((length, k, n), np.float32)
+        for t, h in run("f", range(length)):
+            ahead[t] = h
+        sums = np.zeros((len(self.langs), n), np.float32)
+        for t, h in run("b", range(length - 1, -1, -1)):
+            p = out[:, :k] @ ahead[t]
+            p += out[:, k:] @ h
+            p += c
+            p -= p.max(axis=0)
+            np.exp(p, out=p)
+            p /= p.sum(axis=0)
+            if t >= short:
+                p *= on[t]
+            sums += p
+        return sums.T
+
+
+def letters(text: str) -> bytes:
+    """The text's letters in lower case, a space for each gap, as UTF-8; no letter: empty."""
+    plain = _GAP.sub(" ", text.lower()).strip(" ")
+    if not plain.replace(" ", "").isalpha():  # numerals that are no digits pass for word characters
+        plain = " ".join("".join(x if x.isalpha() else " " for x in plain).split())
+    return plain.encode("utf-8")
+
+
+def windows(data: bytes, size: int) -> list[bytes]:
+    """``data`` in parts of at most ``size`` bytes that end with whole characters."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + size, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(data[at:end])
+        at = end
+    return out
+
+
+def train(samples: list[tuple[bytes, str]], epochs: int = EPOCHS, seed: int = 0) -> Model:
+    """Fit a model to (window, language) pairs with Adam. Each language weighs the same."""
+    langs = sorted({lang for _, lang in samples})
     model = Model.fresh(langs, seed=seed)
     rng = np.random.default_rng(seed)
     by_lang: dict[str, list[bytes]] = {lang: [] for lang in langs}
-    for word, lang in words:
-        by_lang[lang] += _pieces(word)
+    for window, lang in samples:
+        by_lang[lang].append(window)
     most = max(map(len, by_lang.values()), default=0)
     by_length: dict[int, list[tuple[bytes, int]]] = {}
     for i, lang in enumerate(langs):
@@ -167,58 +230,49 @@ def train(words: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 0) ->
     return model
 
 
-class Words:
-    """For each word the sum of its positions' probabilities and the number of positions."""
+class Pool:
+    """Collects the windows of texts, evaluates them TOGETHER at a time, and names languages.
+
+    Batches are always filled up to the same shape, so that a window's values do not depend
+    on what it is evaluated with.
+    """
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, texts: int):
         self.model = model
-        self._reset()
-
-    def _reset(self) -> None:
-        self.row: dict[str, int] = {}
-        self.sums = np.zeros((1 << 16, len(self.model.langs) + 1), np.float32)
-
-    def learn(self, words: set[str]) -> None:
-        """Evaluate the words that are not known yet."""
-        if not self.model.langs:
-            return
-        new = [w for w in words if w not in self.row]
-        if len(self.row) + len(new) > CACHE_WORDS:
-            self._reset()
-            new = list(words)
-        start = len(self.row)
-        while len(self.sums) < start + len(new):
-            self.sums = np.concatenate((self.sums, np.zeros_like(self.sums)))
-        by_length: dict[int, list[tuple[bytes, int]]] = {}
-        for i, word in enumerate(new, start):
-            self.row[word] = i
-            if word.isalpha() and len(data := word.encode("utf-8")) <= PIECE:
-                by_length.setdefault(len(data), []).append((data, i))
+        self.sums = np.zeros((texts, len(model.langs)))
+        self.sizes = np.zeros(texts, np.int64)
+        self.x = np.zeros((TOGETHER, WINDOW), np.uint8)
+        self.held: list[tuple[int, int]] = []
+
+    def add(self, i: int, data: bytes) -> None:
+        self.sizes[i] = len(data)
+        for part in windows(data, WINDOW):
+            self.x[len(self.held), : len(part)] = np.frombuffer(part, np.uint8)
+            self.held.append((i, len(part)))
+            if len(self.held) == TOGETHER:
+                self.flush()
+
+    def flush(self) -> None:
+        if self.held and self.model.langs:
+            sizes = np.zeros(TOGETHER, np.int64)
+            sizes[: len(self.held)] = [n for _, n in self.held]
+            found = self.model.pooled(self.x, sizes)[: len(self.held)]
+            np.add.at(self.sums, [i for i, _ in self.held], found)
+        self.held = []
+
+    def named(self) -> tuple[list[str], list[float]]:
+        """The languages with the largest mean probability over all positions, and these means."""
+        self.flush()
+        langs, scores = [], []
+        for total, size in zip(self.sums, self.sizes.tolist(), strict=True):
+            if size == 0 or not self.model.langs:
+                langs.append(UND)
+                scores.append(0.0)
             else:
-                for piece in _pieces(word):
-                    by_length.setdefault(len(piece), []).append((piece, i))
-        for n, rows in by_length.items():
-            for a in range(0, len(rows), 1024):
-                part = rows[a : a + 1024]
-                x = np.frombuffer(b"".join(p for p, _ in part), np.uint8).reshape(-1, n)
-                p, _ = self.model.positions(x)
-                at = np.array([i for _, i in part])
-                np.add.at(self.sums[:, :-1], at, p.sum(axis=0))
-                np.add.at(self.sums[:, -1], at, n)
-
-    def pool(self, words: list[str]) -> tuple[str, float]:
-        """The language with the largest mean probability over all positions, and that mean."""
-        if not words or not self.model.langs:
-            return UND, 0.0
-        total = self.sums[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-        if total[-1] == 0:
-            return UND, 0.0
-        p = total[:-1] / total[-1]
-        best = int(p.argmax())
-        return self.model.langs[best], float(min(1.0, max(0.0, p[best])))
-
-
-_KNOWN: dict[str, Words] = {}
+                best = int(total.argmax())
+                langs.append(self.model.langs[best])
+                scores.append(min(1.0, max(0.0, float(total[best]) / size)))
+        return langs, scores
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -226,20 +280,20 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def training_words(
+def training_windows(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     docs_per_lang: int = DOCS_PER_LANG,
-    words_per_doc: int = WORDS_PER_DOC,
-) -> list[tuple[str, str]]:
-    """(word, language) pairs of a bounded sample of labelled rows that are not held out.
+    windows_per_doc: int = WINDOWS_PER_DOC,
+) -> list[tuple[bytes, str]]:
+    """(window, language) pairs of a bounded sample of labelled rows that are not held out.
 
     Of each language about ``docs_per_lang`` rows are taken, those whose hash of the id falls
-    below the share that its count leaves, and of each ``words_per_doc`` words at even
+    below the share that its count leaves, and of each ``windows_per_doc`` windows at even
     distances over the whole text. Where ids repeat, the sample stops at four times its
-    size.
+    size, in an order that the rows' hashes give.
     """
     rows = df.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)).alias("h"), F.col(text_col).alias("text")
@@ -253,51 +307,44 @@ def training_words(
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                words = [w for w in _WORD.findall(text.as_py().lower()) if any(map(str.isalpha, w))]
-                at = {int(i * len(words) / words_per_doc) for i in range(words_per_doc)} if words else ()
-                out.append([words[i] for i in sorted(at)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["lang", "words"])
+            for text in batch.column(2):
+                found = windows(letters(text.as_py()), TRAIN_WINDOW)
+                at = {int(i * len(found) / windows_per_doc) for i in range(windows_per_doc)} if found else ()
+                out.append([found[i] for i in sorted(at)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], names=["lang", "h", "windows"]
+            )
 
     cut = F.create_map(*[F.lit(x) for pair in sorted(cuts.items()) for x in pair])
     picked = rows.filter(F.col("h") < cut[F.col("lang")])
-    sample = picked.select("lang", "text").mapInArrow(some, "lang string, words array<string>").limit(4 * docs_per_lang * len(cuts)).collect()
-    return sorted((w, r["lang"]) for r in sample for w in r["words"])
+    sample = picked.select("lang", "h", "text").mapInArrow(some, "lang string, h long, windows array<binary>")
+    sample = sample.orderBy("h", "lang", "windows").limit(4 * docs_per_lang * len(cuts)).collect()
+    return sorted((bytes(w), r["lang"]) for r in sample for w in r["windows"])
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def predict(df: DataFrame, model: Model, text_col: str | Column = "text") -> DataFrame:
     """All columns of ``df`` but those named lang_pred and score, and these two.
 
-    lang_pred is the language with the largest mean probability over every letter position
-    of the whole text, score that mean; ``und`` and 0 if text is null or has no letter, or
-    if no language was learned. Prediction reads nothing but the text.
+    lang_pred is the language with the largest mean probability over every position of the
+    whole text, score that mean; ``und`` and 0 if text is null or has no letter, or if no
+    language was learned. Prediction reads nothing but the text, and only the text goes
+    through Python.
     """
-    rows = df.drop("lang_pred", "score") if {"lang_pred", "score"} & set(df.columns) else df
-    at = rows.columns.index(text_col)
-    key = model.key()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _KNOWN:
-            _KNOWN.clear()
-            _KNOWN[key] = Words(model)
-        known = _KNOWN[key]
+    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+
+    @F.arrow_udf("lang_pred string, score double")
+    def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            langs, scores = [], []
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                found = [_WORD.findall((x.as_py() or "").lower()) for x in part.column(at)]
-                known.learn(set().union(*found))
-                for words in found:
-                    lang, score = known.pool(words)
-                    langs.append(lang)
-                    scores.append(score)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"],
-            )
+            pool = Pool(model, len(batch))
+            for i, text in enumerate(batch):
+                if data := letters(text.as_py()):
+                    pool.add(i, data)
+            langs, scores = pool.named()
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+        tidy()
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    packed = df.select(F.struct(*kept).alias("row"), named(text_or_empty(text_col)).alias("found"))
+    return packed.select("row.*", "found.lang_pred", "found.score")
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_on: DataFrame | None = None) -> DataFrame:
@@ -308,7 +355,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     out. Repeated rows get equal values. Other columns are ignored.
     """
     source = train_on if train_on is not None else df
-    model = train(training_words(source, id_col, text_col, lang_col))
+    model = train(training_windows(source, id_col, text_col, lang_col))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return predict(rows, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
@@ -317,9 +364,10 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows whose language is found, with all their columns; ``und`` rows go.
 
     These have null text or no letter. Where no row is labelled, rows with a letter stay.
+    Repeated rows are kept or go together; an empty table stays empty.
     """
-    model = train(training_words(df, id_col, text_col, lang_col))
-    packed = df.select(F.struct(*df.columns).alias("row"), text_or_empty(text_col).alias("text"))
+    model = train(training_windows(df, id_col, text_col, lang_col))
     if not model.langs:
-        return packed.filter(F.col("text").rlike(r"\p{L}")).select("row.*")
-    return predict(packed, model).filter(F.col("lang_pred") != UND).select("row.*")
+        return df.filter(text_or_empty(text_col).rlike(r"\p{L}"))
+    packed = df.select(F.struct(*df.columns).alias("row"))
+    return predict(packed, model, F.col("row")[text_col]).filter(F.col("lang_pred") != UND).select("row.*")
