@@ -3,7 +3,7 @@
 A word is a doubly linked list of symbols. A priority queue holds the ranks of the pairs
 that could merge; an entry whose symbols have changed since is stale and skipped. Decoding
 concatenates vocabulary strings. Words repeat, so each worker keeps the ids of words it
-has seen lately, up to a fixed number.
+has seen lately as bytes, up to a fixed number of words and of bytes a word.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,10 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_or_empty
+from ._common import text_or_empty, tidy
 
-#: Words in a generation of the words whose ids a worker remembers.
-CACHE_WORDS = 100_000
+#: Words in a generation of the words whose ids a worker remembers, and characters of the
+#: longest one: two generations of such words take about 60 MB.
+CACHE_WORDS, CACHE_CHARS = 150_000, 32
 #: Bytes of text whose ids are held at a time; a longer text is a part of its own.
 PART_BYTES = 2 << 20
 _GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -45,18 +46,18 @@ class Recent:
     """The last words asked for: two generations of at most CACHE_WORDS each."""
 
     def __init__(self) -> None:
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def get(self, word: str) -> tuple[int, ...] | None:
+    def get(self, word: str) -> bytes | None:
         if (ids := self.new.get(word)) is None and (ids := self.old.get(word)) is not None:
             self.put(word, ids)
         return ids
 
-    def put(self, word: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+    def put(self, word: str, ids: bytes) -> bytes:
         if len(self.new) >= CACHE_WORDS:
             self.old, self.new = self.new, {}
-        if len(word) <= 64:
+        if len(word) <= CACHE_CHARS:
             self.new[word] = ids
         return ids
 
@@ -70,7 +71,10 @@ class Codec:
         model = spec["model"]
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
+        named = vocab | self.special
+        self.strings = [""] * (max(named.values()) + 1)
+        for text, i in named.items():
+            self.strings[i] = text
         letters = byte_letters()
         self.first = [vocab[letters[b]] for b in range(256)]
         self.last = [vocab[letters[b] + self.suffix] for b in range(256)]
@@ -84,7 +88,7 @@ class Codec:
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", ""))
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.marks = tuple(self.special)
-        self.cache, self.pieces = Recent(), Recent()
+        self.cache = Recent()
 
     def merge(self, word: str) -> tuple[int, ...]:
         data = word.encode("utf-8")
@@ -120,27 +124,30 @@ class Codec:
                 heapq.heappush(queue, (r >> 16 << 32 | h) << 16 | (r & 65535))
         return tuple([x for x in ids if x >= 0])
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
+        """The ids of a word. A word of letters is also a chunk, and so kept among these."""
+        if (ids := self.cache.get(word)) is None:
+            ids = array("I", self.merge(word)).tobytes()
+            if word.isalpha():
+                self.cache.put(word, ids)
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii():
             plain = chunk.lower()
         else:  # letter by letter: no final sigma
             plain = "".join(map(str.lower, unicodedata.normalize("NFC", chunk)))
         if plain.isalpha():
-            words = (plain,)
-        elif plain[-1] in ".,;:!?" and plain[:-1].isalpha():
+            return self._word(plain)
+        if plain[-1] in ".,;:!?" and plain[:-1].isalpha():
             words = (plain[:-1], plain[-1])
         else:
             words = self.pattern.findall(plain)
-        out: tuple[int, ...] = ()
-        for word in words:
-            if (ids := self.pieces.get(word)) is None:
-                ids = self.pieces.put(word, self.merge(word))
-            out += ids
-        return out
-
-    def _plain(self, text: str) -> list[int]:
+        return b"".join([self._word(word) for word in words])
+
+    def _plain(self, text: str) -> bytes:
         chunks = [x for x in _GAP.split(text) if x] if _CONTROL.search(text) else text.split()
-        out: list[int] = []
+        out: list[bytes] = []
         cache = self.cache
         get = cache.new.get
         for chunk in chunks:
@@ -148,21 +155,20 @@ class Codec:
                 if (ids := cache.get(chunk)) is None:
                     ids = cache.put(chunk, self._chunk(chunk))
                 get = cache.new.get
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         if not any(m in text for m in self.marks):
             return self._plain(text)
-        out: list[int] = []
-        for part in self.special_split.split(text):
-            if part in self.special:
-                out.append(self.special[part])
-            else:
-                out += self._plain(part)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
+        parts = self.special_split.split(text)
+        return b"".join([array("I", (self.special[x],)).tobytes() if x in self.special else self._plain(x) for x in parts])
+
+    def encode(self, text: str) -> list[int]:
+        return array("I", self.packed(text)).tolist()
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The vocabulary strings one after the other. The vocabulary declares no decoder, so a
         space stands between them and word ends stay."""
         return " ".join(map(self.strings.__getitem__, ids))
@@ -184,20 +190,20 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
     """
 
     def encoded(part: pa.RecordBatch, codec: Codec) -> pa.RecordBatch:
-        counts, id_sums, text_sums, kept = [], [], [], array("i")
+        counts, id_sums, text_sums, kept = [], [], [], bytearray()
         for value in part.column(1):
-            ids = codec.encode(value.as_py())
-            packed = array("I", ids)
+            packed = codec.packed(value.as_py())
+            ids = array("I", packed)
             counts.append(len(ids))
-            id_sums.append(hashlib.sha256(packed.tobytes()).hexdigest())
+            id_sums.append(hashlib.sha256(packed).hexdigest())
             text_sums.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
             if keep_ids:
-                kept.frombytes(packed.tobytes())
+                kept += packed
         columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if keep_ids:
             ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
-            values = pa.Array.from_buffers(pa.int32(), len(kept), [None, pa.py_buffer(kept.tobytes())])
+            values = pa.Array.from_buffers(pa.int32(), len(kept) // 4, [None, pa.py_buffer(kept)])
             columns, names = [*columns, pa.ListArray.from_arrays(ends, values)], [*names, "ids"]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -213,6 +219,7 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                 held += n
             if start < len(sizes):
                 yield encoded(batch.slice(start), codec)
+        tidy()
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(
