@@ -20,8 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, one_space
+from ._common import discard, marked, materialize, one_space, text_or_empty, tidy
 from .graph import components
+from .words import STEP, Words, mixed
 
 N, THRESHOLD = 5, 0.8
 #: Bands of ROWS hashes each. A pair at similarity s is found with probability
@@ -30,8 +31,6 @@ BANDS, ROWS = 20, 5
 RECALL = 0.9995
 #: Bounds of a block: classes and n-grams.
 BLOCK_CLASSES, BLOCK_GRAMS = 1500, 1_000_000
-BITMAP_BITS = 1 << 22
-_WORD_CACHE = 300_000
 
 
 def bands_for(rows: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -45,32 +44,25 @@ def class_key(text_col: str | Column) -> Column:
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of a text's word n-grams; a shorter text is one n-gram."""
+    """Sorted distinct 64-bit hashes of a text's word n-grams; a shorter text is one n-gram.
+
+    Texts come as UTF-8.
+    """
 
     def __init__(self, n: int = N):
-        self.n, self.words = n, {}
-        self.power = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(n)], np.uint64)
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint64)
-        words = text.split(" ")
-        known = self.words
-        if len(known) > _WORD_CACHE:
-            known.clear()
-        hashes = []
-        for w in words:
-            if (h := known.get(w)) is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            hashes.append(h)
-        w = np.array(hashes, np.uint64)
-        n = min(self.n, len(w))
-        x = np.zeros(len(w) - n + 1, np.uint64)
+        self.n, self.words = n, Words()
+        self.power = np.array([pow(STEP, i + 1, 1 << 64) for i in range(n)], np.uint64)
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        return np.unique(self.of(self.words(text)[2]))
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """The n-grams of hashed words in their order, repeats too."""
+        n = min(self.n, len(words))
+        x = np.zeros(len(words) - n + 1 if n else 0, np.uint64)
         for i in range(n):
-            x += w[i : len(w) - n + 1 + i] * self.power[i]
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return np.unique(x ^ (x >> np.uint64(31)))
+            x += words[i : len(words) - n + 1 + i] * self.power[i]
+        return mixed(x)
 
 
 class Bander:
@@ -94,12 +86,38 @@ class Bander:
         ]
 
 
+    def many(self, sets: list[np.ndarray]) -> np.ndarray:
+        """The bands of several sets of n-grams, none of them empty, shape (sets, bands)."""
+        x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+        at = np.concatenate(([0], np.cumsum([len(s) for s in sets[:-1]], dtype=np.int64)))
+        low = np.empty((self.bands * self.rows, len(sets)), np.uint32)
+        y = np.empty_like(x)
+        for i, (a, b) in enumerate(zip(self.a, self.b, strict=True)):
+            np.multiply(x, a, out=y)
+            y += b
+            np.minimum.reduceat(y, at, out=low[i])
+        out = np.empty((self.bands, len(sets)), np.uint64)
+        for i in range(self.bands):
+            key = np.full(len(sets), i + 1, np.uint64)
+            for row in low[i * self.rows : (i + 1) * self.rows]:
+                key = mixed(key * np.uint64(STEP) + row)
+            out[i] = key
+        return out.T.view(np.int64)
+
+
 def prefix(grams: np.ndarray, threshold: float) -> list[int]:
     """The least n-grams of a set, so many that sets at the threshold have one of these in common."""
     keep = len(grams) - math.ceil(threshold * len(grams) - 1e-9) + 1
     return (grams[:keep] ^ np.uint64(1 << 63)).view(np.int64).tolist()
 
 
+def keys_of(grams: np.ndarray, band: Bander, prefix_upto: int, threshold: float) -> list[int]:
+    """Of at most ``prefix_upto`` n-grams a prefix, of more the bands; larger sets that can link
+    to such small ones have both."""
+    found = prefix(grams, threshold) if 0 < len(grams) * threshold <= prefix_upto else []
+    return found if len(grams) <= prefix_upto else found + band(grams)
+
+
 def signatures(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, bands: int = BANDS, rows: int = ROWS,
     prefix_upto: int = 0, threshold: float = THRESHOLD,
@@ -111,10 +129,6 @@ def signatures(
     these have both.
     """
 
-    def keys(grams: np.ndarray, band: Bander) -> list[int]:
-        found = prefix(grams, threshold) if 0 < len(grams) * threshold <= prefix_upto else []
-        return found if len(grams) <= prefix_upto else found + band(grams)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, band = Shingler(n), Bander(bands, rows)
         for batch in batches:
@@ -122,34 +136,17 @@ def signatures(
             for text in batch.column(2):
                 grams = shingle(text.as_py())
                 sizes.append(len(grams))
-                out.append(keys(grams, band) if len(grams) else [])
+                out.append(keys_of(grams, band, prefix_upto, threshold) if len(grams) else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.int64()))],
                 names=["doc_id", "node", "grams", "bands"],
             )
+        tidy()
 
-    source = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), class_key(text_col).alias("node"), F.trim(one_space(text_col)).alias("text")
-    )
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), class_key(text_col).alias("node"), text_or_empty(text_col).cast("binary").alias("text"))
     return source.mapInArrow(run, "doc_id long, node binary, grams long, bands array<long>")
 
 
-def _bit_of(node: Column) -> Column:
-    return F.pmod(F.xxhash64(node), F.lit(BITMAP_BITS))
-
-
-def _marked(nodes: DataFrame) -> Column:
-    """A test of column node: false only for nodes that are not among ``nodes``. Fixed size."""
-    words = BITMAP_BITS // 64
-    bit = _bit_of(F.col("node"))
-    one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {BITMAP_BITS}) & 63 as int))")
-    ones = nodes.select(F.shiftright(bit, 6).alias("w"), one.alias("v"))
-    zeros = nodes.sparkSession.range(words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("v"))
-    dense = ones.unionByName(zeros).groupBy("w").agg(F.bit_or("v").alias("v"))
-    bitmap = dense.agg(F.expr("transform(array_sort(collect_list(struct(w, v))), x -> x.v)").alias("m")).scalar()
-    return F.element_at(bitmap, (F.shiftright(bit, 6) + 1).cast("int")).bitwiseAND(one) != F.lit(0)
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace text, the last column, by its n-grams as bytes."""
     shingle = Shingler(N)
@@ -158,6 +155,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], pa.array(grams, pa.binary())], names=[*batch.schema.names[:-1], "set"]
         )
+    tidy()
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -278,44 +276,49 @@ def _verify(threshold: float):
         flush()
         if out:
             yield batch_of(out)
+        tidy()
 
     return run
 
 
-def near_classes(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, prefix_upto: int = 0
-) -> tuple[DataFrame, DataFrame]:
-    """``(rows, nodes)``: (doc_id, node, grams) of each row, and of each class that has more than
-    one row or a link (node, component, copies, links, class_id). links counts rows of other
-    classes."""
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(signatures(source, prefix_upto=prefix_upto, threshold=threshold), "join-signatures")
-    classes = rows.groupBy("node").agg(
+def near_classes(rows: DataFrame, source: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, component, copies, links, class_id, keep_node) of each class that has more than
+    one row or a link. links counts rows of other classes.
+
+    ``rows`` is a written table as ``signatures`` gives it, ``source`` has the texts (doc_id,
+    text) again, which are read only for rows that share a key with another class. A key's
+    classes are counted by the key alone, so that the many keys of a single class cost a
+    shuffle of longs and no more.
+    """
+    several = materialize(rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").select("node"), "join-several")
+    copied = marked(several, "node")
+    merged = rows.filter(copied).groupBy("node").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.max("grams").alias("grams"), F.first("bands").alias("bands")
     )
-    classes = materialize(classes, "join-classes")
+    merged = materialize(merged, "join-merged")
+    single = rows.filter(~copied).select("node", F.lit(1).cast("long").alias("copies"), F.col("doc_id").alias("rep"), "grams", "bands")
+    classes = single.unionByName(merged)
     banded = classes.select("node", "grams", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = materialize(
-        banded.join(buckets.select("key", "leader"), "key").select("node", "grams", "leader").distinct(), "join-members"
-    )
+    twice = materialize(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "join-keys")
+    shared = materialize(banded.filter(marked(twice, "key")), "join-shared")
+    leaders = shared.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
+    leaders = materialize(leaders.select(F.col("key").alias("k"), "leader"), "join-leaders")
+    members = materialize(shared.join(leaders, F.col("key") == F.col("k")).select("node", "grams", "leader").distinct(), "join-members")
+    discard(twice, shared, leaders)
     groups = members.groupBy("leader").agg(F.count("*").alias("m"), F.sum("grams").alias("g"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int")
     large = materialize(groups.filter("m > 1").select(F.col("leader").alias("l"), blocks.alias("blocks")), "join-groups")
-    involved = materialize(
-        members.groupBy("node")
-        .agg(F.collect_set("leader").alias("leaders"))  # at most one a band
-        .join(classes.select("node", "copies", "rep"), "node"),
-        "join-involved",
-    )
-    here = _marked(involved.select("node"))
-    texts = source.select("doc_id", class_key("text").alias("node"), F.trim(one_space("text")).alias("text")).filter(here)
+    wanted = materialize(members.groupBy("node").agg(F.collect_set("leader").alias("leaders")), "join-wanted")  # at most one a key
+    involved = classes.filter(marked(wanted, "node")).select(F.col("node").alias("node_"), "copies", "rep")
+    involved = materialize(wanted.join(involved, F.col("node") == F.col("node_")).drop("node"), "join-involved")
+    reps = involved.select(F.col("rep").alias("doc_id"))
+    # the one-element explode keeps the planner from computing the key again for each use
     texts = (
-        texts.join(
-            involved.select(F.col("node").alias("node_"), "leaders", "copies", "rep"),
-            (F.col("node") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("rep")),
-        )
-        .select("node", "rep", "leaders", "copies", "text")
+        source.filter(marked(reps, "doc_id"))
+        .withColumn("node", F.explode(F.array(class_key("text"))))
+        .filter(marked(wanted, "node"))
+        .join(involved, (F.col("node") == F.col("node_")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+        .select("node", "rep", "leaders", "copies", text_or_empty("text").cast("binary").alias("text"))
         .dropDuplicates(["node", "rep"])
         .drop("rep")
     )
@@ -330,31 +333,41 @@ def near_classes(
             "node", "side", "leaders", "copies", "set",
         )
     )
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = (
-        placed.repartition(n, "leader", "low", "high")
+        placed.repartition("leader", "low", "high")
         .sortWithinPartitions("leader", "low", "high")
         .mapInArrow(_verify(threshold), "node binary, links long, root binary")
     )
     found = materialize(found, "join-links")
+    discard(members, large, wanted, involved)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    linked = materialize(parts.join(links, "node"), "join-linked")
     nodes = (
-        classes.select("node", "copies", "rep")
-        .join(links, "node", "left")
-        .join(parts, "node", "left")
+        classes.filter((F.col("copies") > 1) | marked(linked, "node"))
+        .select(F.col("node").alias("node_"), "copies", "rep")
+        .join(linked, F.col("node_") == F.col("node"), "left")
         .filter("copies > 1 OR component IS NOT NULL")
-        .withColumn("component", F.coalesce("component", "node"))
+        .select(F.col("node_").alias("node"), "copies", "rep", "links", F.coalesce("component", "node_").alias("component"))
     )
     nodes = materialize(nodes, "join-nodes")
     names = nodes.groupBy("component").agg(
         F.min(F.struct(F.col("rep").isNull().alias("z"), F.col("rep").alias("id"), F.col("node").alias("n"))).alias("first")
     )
-    nodes = nodes.join(names, "component").select(
-        "node", "component", "copies", F.coalesce("links", F.lit(0)).alias("links"),
-        F.col("first.id").alias("class_id"), F.col("first.n").alias("keep_node"),
-    )
-    return rows.select("doc_id", "node", "grams"), materialize(nodes, "join-result")
+    names = materialize(names.select(F.col("component").alias("c"), F.col("first.id").alias("class_id"), F.col("first.n").alias("keep_node")), "join-names")
+    nodes_named = nodes.join(names, F.col("component") == F.col("c")).select(
+        "node", "component", "copies", F.coalesce("links", F.lit(0)).alias("links"), "class_id", "keep_node"
+    )
+    nodes_named = materialize(nodes_named, "join-result")
+    discard(several, merged, found, linked, nodes, names)
+    return nodes_named
+
+
+def _signed(df: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The written signatures of ``df``, and the classes found among them."""
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = materialize(signatures(source, threshold=threshold), "join-signatures")
+    return rows, near_classes(rows, source, threshold)
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -368,7 +381,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     Null ids come last, so class_id is null only where all ids of a class are. Repeated rows
     are copies. An empty table gives an empty table. Other columns are ignored.
     """
-    rows, nodes = near_classes(df, id_col, text_col, threshold)
+    rows, nodes = _signed(df, id_col, text_col, threshold)
     named = nodes.select(F.col("node").alias("node_"), "copies", "links", "class_id", "component")
     return rows.join(named, F.col("node") == F.col("node_"), "left").select(
         "doc_id",
@@ -386,13 +399,16 @@ def keep_first_of_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     last). Rows repeated with equal id and words count as one document and stay together.
     Rows without partners are not shuffled.
     """
-    _, nodes = near_classes(df, id_col, text_col, threshold)
-    near = nodes.select(
-        F.col("node").alias("__node_"), F.col("class_id").alias("__keep"), F.col("keep_node").alias("__keep_node")
-    )
-    here = _marked(nodes.select("node"))
-    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"), class_key(text_col).alias("node"))
-    alone = packed.filter(~here).select("row.*")
-    rest = packed.filter(here).join(near, F.col("node") == F.col("__node_"), "left")
-    stays = F.col("__node_").isNull() | ((F.col("node") == F.col("__keep_node")) & F.col("id").eqNullSafe(F.col("__keep")))
-    return alone.unionByName(rest.filter(stays).select("row.*"))
+    rows, nodes = _signed(df, id_col, text_col, threshold)
+    near = nodes.select(F.col("node").alias("node_"), "class_id", "keep_node")
+    stays = (F.col("node") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    gone = rows.filter(marked(nodes, "node")).join(near, F.col("node") == F.col("node_")).filter(~stays)
+    gone = materialize(gone.select(F.col("doc_id").alias("id"), "node").distinct(), "join-gone")
+    discard(rows, nodes)
+    here = marked(gone, "id")
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"))
+    # only rows with an id of these are given the key of their words
+    rest = packed.filter(here).withColumn("node", F.explode(F.array(class_key(F.col("row")[text_col]))))
+    named = gone.select(F.col("id").alias("id_"), F.col("node").alias("node_"))
+    rest = rest.join(named, F.col("id").eqNullSafe(F.col("id_")) & (F.col("node") == F.col("node_")), "left_anti")
+    return packed.filter(~here).select("row.*").unionByName(rest.select("row.*"))
