@@ -70,11 +70,27 @@ def canonical_id(col: str | Column) -> Column:
 
 
 def json_string(col: str | Column) -> Column:
-    """A JSON string, or null. Values must be ASCII without control characters."""
+    """A JSON string, or null. Characters beyond printable ASCII are escaped, those above
+    U+FFFF as a pair of surrogates; only texts that have any take that way."""
     c = F.replace(F.replace(_c(col), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    c = F.when(c.rlike(r"^[\x20-\x7e]*\z"), c).otherwise(F.array_join(F.transform(F.split(c, ""), _escaped), ""))
     return F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
 
 
+#: The short escapes of JSON.
+_SHORT = {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def _escaped(x: Column) -> Column:
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    code = F.ascii(x)  # the code point of the first character
+    high, low = F.lit(0xD7C0) + F.shiftright(code, 10), F.lit(0xDC00) + code.bitwiseAND(1023)
+    out = F.when(x.rlike(r"^[\x20-\x7e]*\z"), x)
+    for k, v in _SHORT.items():
+        out = out.when(x == k, F.lit(v))
+    return out.when(code > 0xFFFF, F.concat(unit(high), unit(low))).otherwise(unit(code))
+
+
 def canonical_json(**fields: Column) -> Column:
     """A compact JSON object with sorted keys. Values are JSON already, see json_string."""
     parts: list[Column] = []
@@ -83,6 +99,11 @@ def canonical_json(**fields: Column) -> Column:
     return F.concat(*parts, F.lit("}"))
 
 
+def unsigned_zero(col: str | Column) -> Column:
+    """The number, with -0.0 as 0.0: a mean that is zero but for rounding has a sign by chance."""
+    return _c(col) + F.lit(0.0)
+
+
 def stable_hash(*parts: Column | str) -> Column:
     """SHA-256 hex of the parts joined by vertical bars."""
     return F.sha2(F.concat_ws("|", *[_c(p).cast("string") for p in parts]), 256)

@@ -215,10 +215,7 @@ def tamper_matrix_detection(spark: SparkSession, sf: str) -> DataFrame:
     """How many tampered heads each policy rejects."""
     rows = chains(spark, sf).withColumn("expected_id", F.col("order_id"))
     rows = rows.withColumn("band", F.element_at("chain", -1).ai_risk_reference.risk_level)
-    out = None
-    for s in chain.SCENARIOS:
-        one = chain.tamper(rows, s)
-        out = one if out is None else out.unionByName(one)
+    out = chain.tamper(rows, *chain.SCENARIOS)
     hit = lambda p: F.count_if(~F.col(f"accepted_{p}")).alias(f"hit_{p.lower()}")
     return chain.verdicts(chain.with_checks(out)).groupBy("scenario", "band").agg(F.count("*").alias("n"), hit("B0"), hit("B1"), hit("P"))
 

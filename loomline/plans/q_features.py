@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import min_max, temporal
+from ..functions.scalar import min_max, temporal, unsigned_zero
 from ..operators import features
 from ..operators.split import hash_split
 from ..operators.views import order_lines
@@ -81,16 +81,16 @@ def other_bucket(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 , t AS (SELECT order_id, item_id, quantity, total, {_S} AS split FROM order_lines),
 s AS (SELECT avg(quantity) AS mq, stddev_pop(quantity) AS sq, avg(total) AS mt, stddev_pop(total) AS st FROM t WHERE split = 'train')
-SELECT split, count(*) AS n, round(avg((quantity - mq) / sq), 6) AS mean_q, round(stddev_pop((quantity - mq) / sq), 6) AS sd_q,
-       round(avg((total - mt) / st), 6) AS mean_t, round(max((total - mt) / st), 6) AS max_t
+SELECT split, count(*) AS n, round(avg((quantity - mq) / sq), 6) + 0.0 AS mean_q, round(stddev_pop((quantity - mq) / sq), 6) AS sd_q,
+       round(avg((total - mt) / st), 6) + 0.0 AS mean_t, round(max((total - mt) / st), 6) AS max_t
 FROM t, s GROUP BY 1
 """)
 def scaled_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = hash_split(order_lines(spark, sf).select("order_id", "item_id", "quantity", "total"), "order_id")
     stats = features.fit_scaler(rows.filter("split = 'train'"), ["quantity", "total"])
     return features.scale(rows, stats, ["quantity", "total"]).groupBy("split").agg(
-        F.count("*").alias("n"), F.round(F.avg("quantity"), 6).alias("mean_q"), F.round(F.stddev_pop("quantity"), 6).alias("sd_q"),
-        F.round(F.avg("total"), 6).alias("mean_t"), F.round(F.max("total"), 6).alias("max_t"),
+        F.count("*").alias("n"), unsigned_zero(F.round(F.avg("quantity"), 6)).alias("mean_q"), F.round(F.stddev_pop("quantity"), 6).alias("sd_q"),
+        unsigned_zero(F.round(F.avg("total"), 6)).alias("mean_t"), F.round(F.max("total"), 6).alias("max_t"),
     )
 
 

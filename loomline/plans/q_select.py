@@ -62,12 +62,11 @@ def metric_pivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, l_partkey, 'l_discount' AS metric, l_discount AS value FROM lineitem WHERE l_orderkey < 200
-UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'l_tax', l_tax FROM lineitem WHERE l_orderkey < 200
+SELECT l_orderkey, l_linenumber, l_partkey, 'l_discount' AS metric, l_discount AS value FROM lineitem
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'l_tax', l_tax FROM lineitem
 """)
 def metric_unpivot(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").filter("l_orderkey < 200")
-    return reshape.unpivot(rows, ["l_orderkey", "l_linenumber", "l_partkey"], ["l_discount", "l_tax"])
+    return reshape.unpivot(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_discount", "l_tax"])
 
 
 @query(f"""

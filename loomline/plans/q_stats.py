@@ -168,12 +168,20 @@ def corr_filter_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(c, b, round(r, 6)) for c, b, r in dropped], "dropped string, blocker string, r double")
 
 
-_SETS = "s AS (SELECT s_suppkey AS k, list(DISTINCT p_brand) AS items FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey < 12 AND l_quantity > 45 GROUP BY 1)"
+_SETS = """w AS (SELECT s_nationkey AS k, p_brand AS item, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+m AS (SELECT k, sum(q) AS total, count(*) AS n FROM w GROUP BY 1),
+s AS (SELECT w.k, list(item) AS items FROM w JOIN m USING (k) WHERE q * n > total GROUP BY 1)"""
 
 
 def brand_sets(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").filter("l_suppkey < 12 AND l_quantity > 45").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set("p_brand").alias("items"))
+    """The brands that each nation's suppliers ship more of than of its average brand."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = rows.join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    amounts = rows.groupBy(F.col("s_nationkey").alias("k"), F.col("p_brand").alias("item")).agg(F.sum("l_quantity").alias("q"))
+    # a row a nation and brand by now
+    listed = amounts.groupBy("k").agg(F.sum("q").alias("total"), F.collect_list(F.struct("item", "q")).alias("all"))
+    large = F.filter("all", lambda x: x.q * F.size("all") > F.col("total"))
+    return listed.select("k", F.transform(large, lambda x: x.item).alias("items"))
 
 
 @query(f"""

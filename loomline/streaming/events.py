@@ -52,6 +52,23 @@ def _link(previous: str | None, index: int, ts: pd.Timestamp) -> str:
     return hashlib.sha256(f"{previous or ''}|{index}|{ts.isoformat()}".encode()).hexdigest()
 
 
+def append_to_chain(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState, time: str) -> Iterator[pd.DataFrame]:
+    """One batch of a key's events. Its rows can come in several parts: all are put in order together."""
+    index, last, digest = state.get if state.exists else (-1, None, None)
+    rows = []
+    for ts in sorted(ts for part in parts for ts in part[time]):
+        ok = last is None or ts >= pd.Timestamp(last)
+        if ok:
+            before, index, last = digest, index + 1, ts
+            digest = _link(before, index, ts)
+            rows.append((str(k[0]), index, ts, True, before, digest))
+        else:
+            rows.append((str(k[0]), None, ts, False, digest, None))
+    if last is not None:
+        state.update((index, pd.Timestamp(last).to_pydatetime(), digest))
+    yield pd.DataFrame(rows, columns=["key", "block_index", "ts", "accepted", "previous_hash", "block_hash"])
+
+
 def keyed_chain(events: DataFrame, key: str, time: str = "ts") -> DataFrame:
     """Append each key's events to its own hash chain; an event older than the chain's last one is refused.
 
@@ -59,19 +76,6 @@ def keyed_chain(events: DataFrame, key: str, time: str = "ts") -> DataFrame:
     """
 
     def append(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        index, last, digest = state.get if state.exists else (-1, None, None)
-        rows = []
-        for part in parts:
-            for ts in sorted(part[time]):
-                ok = last is None or ts >= pd.Timestamp(last)
-                if ok:
-                    before, index, last = digest, index + 1, ts
-                    digest = _link(before, index, ts)
-                    rows.append((str(k[0]), index, ts, True, before, digest))
-                else:
-                    rows.append((str(k[0]), None, ts, False, digest, None))
-        if last is not None:
-            state.update((index, pd.Timestamp(last).to_pydatetime(), digest))
-        yield pd.DataFrame(rows, columns=["key", "block_index", "ts", "accepted", "previous_hash", "block_hash"])
+        return append_to_chain(k, parts, state, time)
 
     return events.select(key, F.col(time).cast("timestamp").alias(time)).groupBy(key).applyInPandasWithState(append, CHAIN_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)

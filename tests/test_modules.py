@@ -246,3 +246,31 @@ def test_storage_counts_canonical_bytes(spark):
     got = experiments.storage(experiments.workloads(chains, [522], [2, 5])).orderBy("workload").collect()
     one = sum(len(r.x) for r in chains.limit(1).select(F.explode(F.transform("chain", chain.preimage)).alias("x")).collect())
     assert [(r.orders, r.blocks, r.bytes) for r in got] == [(2, 10, 2 * one), (5, 25, 5 * one)]
+
+
+def test_json_strings_escape_as_json_does(spark):
+    import json
+
+    from loomline.functions.scalar import json_string
+
+    texts = ["plain", 'a"b\\c', "tab\tline\nend\n", "\x01\x7f\b\f\r", "zwölf €", "😀 𝄞", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.j for r in rows.select("i", json_string("t").alias("j")).orderBy("i").collect()]
+    assert got == [json.dumps(t) for t in texts]
+
+
+def test_one_key_in_several_parts_stays_in_order():
+    import pandas as pd
+
+    from loomline.streaming import events
+
+    class State:
+        exists, kept = False, None
+
+        def update(self, value):
+            self.kept = value
+
+    late, early = pd.Timestamp("2024-01-02"), pd.Timestamp("2024-01-01")
+    parts = [pd.DataFrame({"ts": [late]}), pd.DataFrame({"ts": [early]})]
+    (out,) = events.append_to_chain(("k",), iter(parts), State(), "ts")
+    assert out.accepted.tolist() == [True, True] and out.ts.tolist() == [early, late]
