@@ -69,11 +69,22 @@ def canonical_id(col: str | Column) -> Column:
     return F.when(c.rlike("^(0|[1-9][0-9]*)$"), c)
 
 
+def is_printable(col: str | Column) -> Column:
+    """Whether all characters are printable ASCII."""
+    return _c(col).rlike(r"^[\x20-\x7e]*\z")
+
+
+def printable_json_string(col: str | Column) -> Column:
+    """A JSON string, or null, of a text that is known to be printable ASCII."""
+    c = F.replace(F.replace(_c(col), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+
+
 def json_string(col: str | Column) -> Column:
     """A JSON string, or null. Characters beyond printable ASCII are escaped, those above
     U+FFFF as a pair of surrogates; only texts that have any take that way."""
     c = F.replace(F.replace(_c(col), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    c = F.when(c.rlike(r"^[\x20-\x7e]*\z"), c).otherwise(F.array_join(F.transform(F.split(c, ""), _escaped), ""))
+    c = F.when(is_printable(c), c).otherwise(F.array_join(F.transform(F.split(c, ""), _escaped), ""))
     return F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
 
 
@@ -85,7 +96,7 @@ def _escaped(x: Column) -> Column:
     unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
     code = F.ascii(x)  # the code point of the first character
     high, low = F.lit(0xD7C0) + F.shiftright(code, 10), F.lit(0xDC00) + code.bitwiseAND(1023)
-    out = F.when(x.rlike(r"^[\x20-\x7e]*\z"), x)
+    out = F.when(is_printable(x), x)
     for k, v in _SHORT.items():
         out = out.when(x == k, F.lit(v))
     return out.when(code > 0xFFFF, F.concat(unit(high), unit(low))).otherwise(unit(code))

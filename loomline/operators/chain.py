@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import canonical_json, canonical_timestamp, is_canonical_timestamp, is_sha256_hex, json_string, risk_level
+from ..functions.scalar import canonical_json, canonical_timestamp, is_canonical_timestamp, is_printable, is_sha256_hex, json_string, printable_json_string, risk_level
 
 SCHEMA_VERSION = "1.1"
 EVENTS = ("ORDER_GENESIS", "ORDER_CREATED", "SHIPMENT_RECORDED", "DELIVERY_STATUS_RECORDED", "AI_RISK_ASSESSED")
@@ -52,21 +52,30 @@ def reference(order_id: Column, score: Column, provenance: str = "synthetic") ->
     ).cast(REFERENCE)
 
 
-def _reference_json(r: Column) -> Column:
+def _reference_json(r: Column, string=json_string) -> Column:
     text = canonical_json(
-        order_id=json_string(r.order_id), risk_score=r.risk_score, risk_level=json_string(r.risk_level), record_digest=json_string(r.record_digest),
-        **{p: json_string(r.provenance) for p in PROVENANCE},
+        order_id=string(r.order_id), risk_score=r.risk_score, risk_level=string(r.risk_level), record_digest=string(r.record_digest),
+        **{p: string(r.provenance) for p in PROVENANCE},
     )
     return F.when(r.isNull(), F.lit("null")).otherwise(text)
 
 
 def preimage(b: Column) -> Column:
-    """The canonical JSON of a block without its own hash."""
-    return canonical_json(
-        ai_risk_reference=_reference_json(b.ai_risk_reference), block_index=b.block_index, event_timestamp=json_string(b.event_timestamp),
-        event_type=json_string(b.event_type), order_id=json_string(b.order_id), payload_digest=json_string(b.payload_digest), payload_ref=F.lit("null"),
-        previous_hash=json_string(b.previous_hash), schema_version=json_string(F.lit(SCHEMA_VERSION)), validation_policy=json_string(b.validation_policy),
-    )
+    """The canonical JSON of a block without its own hash. All its texts are looked at together:
+    only a block that holds other than printable ASCII has its characters escaped."""
+
+    def text(string) -> Column:
+        return canonical_json(
+            ai_risk_reference=_reference_json(b.ai_risk_reference, string), block_index=b.block_index, event_timestamp=string(b.event_timestamp),
+            event_type=string(b.event_type), order_id=string(b.order_id), payload_digest=string(b.payload_digest), payload_ref=F.lit("null"),
+            previous_hash=string(b.previous_hash), schema_version=string(F.lit(SCHEMA_VERSION)), validation_policy=string(b.validation_policy),
+        )
+
+    r = b.ai_risk_reference
+    every = F.concat_ws(
+        "", b.event_timestamp, b.event_type, b.order_id, b.payload_digest, b.previous_hash, b.validation_policy, r.order_id, r.risk_level, r.record_digest, r.provenance
+    )
+    return F.when(is_printable(every), text(printable_json_string)).otherwise(text(json_string))
 
 
 def block_hash(b: Column) -> Column:
@@ -104,11 +113,17 @@ def line_digest(columns: dict[str, Column]) -> Column:
     return sha(canonical_json(**columns))
 
 
-def digest_of_line() -> Column:
-    """The digest of an order line by its columns."""
+def _ids(rows: DataFrame):
+    """How to write the ids of ``rows`` as JSON strings: integers need no look at their characters."""
+    kinds = dict(rows.dtypes)
+    return printable_json_string if all(kinds[c] in ("int", "bigint") for c in ("order_id", "item_id") if c in kinds) else json_string
+
+
+def digest_of_line(string=json_string) -> Column:
+    """The digest of an order line by its columns; ``string`` writes its ids."""
     return line_digest(
         {
-            "order_id": json_string(F.col("order_id").cast("string")), "transaction_id": json_string(F.col("item_id").cast("string")),
+            "order_id": string(F.col("order_id").cast("string")), "transaction_id": string(F.col("item_id").cast("string")),
             "quantity": F.col("quantity").cast("long"), "total_cents": F.round(F.col("total") * 100).cast("long"), "status": json_string(F.col("order_status")),
         }
     )
@@ -116,7 +131,7 @@ def digest_of_line() -> Column:
 
 def line_digests(lines: DataFrame) -> DataFrame:
     """(order_id, item_id, digest, n_rows, n_variants): copies of a line collapse; variants are a conflict."""
-    rows = lines.select("order_id", "item_id", digest_of_line().alias("d"))
+    rows = lines.select("order_id", "item_id", digest_of_line(_ids(lines)).alias("d"))
     per = rows.groupBy("order_id", "item_id", "d").agg(F.count("*").alias("n"))
     return per.groupBy("order_id", "item_id").agg(F.min("d").alias("digest"), F.sum("n").alias("n_rows"), F.count("*").alias("n_variants"))
 
@@ -124,7 +139,7 @@ def line_digests(lines: DataFrame) -> DataFrame:
 def order_digests(lines: DataFrame) -> DataFrame:
     """(order_id, digest, n_lines, n_conflicts): the lines of an order in numeric order of their ids."""
     per = line_digests(lines)
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "digest"))), lambda x: json_string(x.digest)), ",")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "digest"))), lambda x: printable_json_string(x.digest)), ",")
     return per.groupBy("order_id").agg(
         sha(F.concat(F.lit("["), listed, F.lit("]"))).alias("digest"), F.count("*").alias("n_lines"), F.count_if(F.col("n_variants") > 1).alias("n_conflicts")
     )
@@ -145,22 +160,52 @@ def build_chains(orders: DataFrame) -> DataFrame:
     Times are canonical text, risk_score is text or null. Four events, and the risk
     assessment as the fifth where there is a score.
     """
-    oid = F.col("order_id").cast("string")
-    rows = orders.withColumn("__o", oid)
-    o, created = F.col("__o"), F.col("created")
-    genesis = sha(canonical_json(order_id=json_string(o), order_creation_canonical=json_string(created)))
-    rows = rows.withColumn("b0", new_block(o, 0, EVENTS[0], created, genesis, F.lit(None)))
-    rows = rows.withColumn("b1", new_block(o, 1, EVENTS[1], created, F.col("lines_digest"), F.col("b0.block_hash")))
-    shipped = sha(canonical_json(order_id=json_string(o), shipped=json_string(F.col("shipped"))))
-    rows = rows.withColumn("b2", new_block(o, 2, EVENTS[2], F.col("shipped"), shipped, F.col("b1.block_hash")))
-    status = sha(canonical_json(order_id=json_string(o), delivery_status=json_string(F.col("delivery_status"))))
-    rows = rows.withColumn("b3", new_block(o, 3, EVENTS[3], F.col("delivered"), status, F.col("b2.block_hash")))
-    rows = rows.withColumn("r", F.when(F.col("risk_score").isNotNull(), reference(o, F.coalesce("risk_score", F.lit("0.0")))))
-    rows = rows.withColumn(
-        "b4", new_block(o, 4, EVENTS[4], F.col("delivered"), payload_of_reference(F.col("r")), F.col("b3.block_hash"), F.col("r"), F.col("r.risk_level"))
+    string = _ids(orders.select("order_id"))
+    rows = orders.withColumn("__o", F.col("order_id").cast("string"))
+    o, created, r = F.col("__o"), F.col("created"), F.col("__r")
+    rows = rows.withColumn("__r", F.when(F.col("risk_score").isNotNull(), reference(o, F.coalesce("risk_score", F.lit("0.0")))))
+    rows = rows.withColumn("__rj", _reference_json(r, string))
+    plain = printable_json_string  # canonical times, digests and levels
+    payloads = [
+        sha(canonical_json(order_id=string(o), order_creation_canonical=plain(created))), F.col("lines_digest"),
+        sha(canonical_json(order_id=string(o), shipped=plain(F.col("shipped")))), sha(canonical_json(order_id=string(o), delivery_status=json_string(F.col("delivery_status")))),
+        sha(F.col("__rj")),
+    ]
+    times = [created, created, F.col("shipped"), F.col("delivered"), F.col("delivered")]
+    blocks = []
+    # each hash is a column of its own: the next block and the array read it, nothing is computed twice
+    for i, (event, at, payload) in enumerate(zip(EVENTS, times, payloads, strict=True)):
+        previous = F.col(f"__h{i - 1}") if i else F.lit(None).cast("string")
+        ref, policy = (r, F.concat(F.lit(POLICY_PREFIX), r.risk_level)) if i == 4 else (F.lit(None), F.lit(POLICY_PREFIX + "MEDIUM"))
+        rows = rows.withColumn(f"__p{i}", payload)
+        text = canonical_json(
+            ai_risk_reference=F.col("__rj") if i == 4 else F.lit("null"), block_index=F.lit(i), event_timestamp=plain(at), event_type=plain(F.lit(event)), order_id=string(o),
+            payload_digest=plain(F.col(f"__p{i}")), payload_ref=F.lit("null"), previous_hash=plain(previous), schema_version=plain(F.lit(SCHEMA_VERSION)), validation_policy=plain(policy),
+        )
+        rows = rows.withColumn(f"__h{i}", sha(text))
+        blocks.append(
+            F.struct(
+                o.alias("order_id"), F.lit(i).alias("block_index"), F.lit(event).alias("event_type"), at.alias("event_timestamp"), F.col(f"__p{i}").alias("payload_digest"),
+                ref.cast(REFERENCE).alias("ai_risk_reference"), policy.alias("validation_policy"), previous.alias("previous_hash"), F.col(f"__h{i}").alias("block_hash"),
+            ).cast(BLOCK)
+        )
+    return rows.select(o.alias("order_id"), F.when(r.isNull(), F.array(*blocks[:4])).otherwise(F.array(*blocks)).alias("chain"))
+
+
+def extend_chains(chains: DataFrame, scores: DataFrame) -> DataFrame:
+    """Chains of four events with the risk assessment appended, from (order_id, risk_score).
+
+    A chain that has no score, or that already ends in an assessment, stays as it is.
+    """
+    s = scores.select(F.col("order_id").cast("string").alias("__id"), F.col("risk_score").alias("__score"))
+    rows = chains.join(s, F.col("order_id") == F.col("__id"), "left").withColumn("__last", F.element_at("chain", -1))
+    o = F.col("order_id")
+    rows = rows.withColumn("__r", F.when(F.col("__score").isNotNull(), reference(o, F.coalesce("__score", F.lit("0.0")))))
+    block = new_block(
+        o, 4, EVENTS[4], F.col("__last.event_timestamp"), payload_of_reference(F.col("__r")), F.col("__last.block_hash"), F.col("__r"), F.col("__r.risk_level")
     )
-    four = F.array("b0", "b1", "b2", "b3")
-    return rows.select(o.alias("order_id"), F.when(F.col("r").isNull(), four).otherwise(F.concat(four, F.array("b4"))).alias("chain"))
+    open_ = F.col("__r").isNotNull() & (F.col("__last.block_index") == 3)
+    return rows.withColumn("chain", F.when(open_, F.concat("chain", F.array(block))).otherwise(F.col("chain"))).select(chains.columns)
 
 
 def payload_of_reference(r: Column) -> Column:
@@ -176,13 +221,13 @@ def order_events(lines: DataFrame, scores: bool = True) -> DataFrame:
     keys = ["order_id", "item_id", "d"]
     folds = {"o": F.min, "s": F.min, "t": F.max, "delivery_status": F.min, "late": F.sum, "n": F.sum}
     rows = lines.select(
-        "order_id", "item_id", digest_of_line().alias("d"), F.col("order_ts").alias("o"), F.col("ship_ts").alias("s"), F.col("ship_ts").alias("t"), "delivery_status",
+        "order_id", "item_id", digest_of_line(_ids(lines)).alias("d"), F.col("order_ts").alias("o"), F.col("ship_ts").alias("s"), F.col("ship_ts").alias("t"), "delivery_status",
         F.col("late").cast("long").alias("late"), F.lit(1).cast("long").alias("n"),
     )
     for by in (keys, keys[:2]):
         digest = [F.min("d").alias("d")] if by != keys else []
         rows = rows.groupBy(*by).agg(*digest, *[f(c).alias(c) for c, f in folds.items()])
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "d"))), lambda x: json_string(x.d)), ",")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "d"))), lambda x: printable_json_string(x.d)), ",")
     per = rows.groupBy("order_id").agg(sha(F.concat(F.lit("["), listed, F.lit("]"))).alias("lines_digest"), *[f(c).alias(c) for c, f in folds.items()])
     hundredths = F.floor(100 * F.col("late") / F.col("n")).cast("long")
     score = F.when(hundredths == 100, F.lit("1.00")).otherwise(F.concat(F.lit("0."), F.lpad(hundredths.cast("string"), 2, "0")))
@@ -197,14 +242,10 @@ def order_events(lines: DataFrame, scores: bool = True) -> DataFrame:
 # checks
 
 
-def _context(chain: Column, block: Column) -> Column:
-    """The chain a block is checked in: it is appended unless the last block has its index."""
-    last = F.element_at(chain, -1)
-    return F.when(last.block_index == block.block_index, chain).otherwise(F.concat(chain, F.array(block)))
-
-
-def checks(ctx: Column, block: Column, order_id: Column) -> dict[str, Column]:
-    """c1 to c8 of a block. c3 and c4 look at the place before the block's index, c8 at the whole chain."""
+def checks(ctx: Column, block: Column, order_id: Column, hashes: Column, risk_digest: Column) -> dict[str, Column]:
+    """c1 to c8 of the last block of a chain. c3 and c4 look at the place before the block's
+    index, c8 at the whole chain. ``hashes`` are those of the chain's blocks, ``risk_digest``
+    that of the block's reference, as they come out now."""
     before = F.try_element_at(ctx, block.block_index)  # counted from 1
     r = block.ai_risk_reference
     risk = block.event_type == EVENTS[4]
@@ -215,20 +256,20 @@ def checks(ctx: Column, block: Column, order_id: Column) -> dict[str, Column]:
     )
     score = r.risk_score.try_cast("double")
     bound = (
-        r.isNotNull() & (record_digest(r.order_id, r.risk_score, r.risk_level, r.provenance) == r.record_digest) & score.between(0.0, 1.0)
+        r.isNotNull() & (risk_digest == r.record_digest) & score.between(0.0, 1.0)
         & r.risk_level.isin(*LEVELS) & (r.order_id == order_id) & (F.length(r.provenance) > 0)
     )
     places = F.transform(
         ctx,
         lambda b, i: (b.block_index == i)
-        & (block_hash(b) == b.block_hash)
+        & (F.element_at(hashes, i + 1) == b.block_hash)
         & F.when(i == 0, F.lit(True)).otherwise(b.previous_hash.eqNullSafe(F.try_element_at(ctx, F.greatest(i, F.lit(1))).block_hash)),
     )
     whole = F.forall(places, lambda ok: F.coalesce(ok, F.lit(False)))
     first = block.block_index == 0
     found = {
         "c1": shape,
-        "c2": block_hash(block) == block.block_hash,
+        "c2": F.element_at(hashes, -1) == block.block_hash,
         "c3": F.when(first, block.previous_hash.isNull()).otherwise(block.previous_hash == before.block_hash),
         "c4": first | (before.event_timestamp <= block.event_timestamp),
         "c5": (block.order_id == order_id) & (block.order_id == F.element_at(ctx, 1).order_id),
@@ -239,20 +280,21 @@ def checks(ctx: Column, block: Column, order_id: Column) -> dict[str, Column]:
     return {k: F.coalesce(v, F.lit(False)) for k, v in found.items()}
 
 
-def adaptive_level(block: Column, order_id: Column) -> Column:
+def adaptive_level(block: Column, order_id: Column, risk_digest: Column | None = None) -> Column:
     """The declared band of a well-formed, digest-bound reference; anything else is MEDIUM."""
     r = block.ai_risk_reference
-    ok = (record_digest(r.order_id, r.risk_score, r.risk_level, r.provenance) == r.record_digest) & (r.order_id == order_id) & r.risk_level.isin(*LEVELS)
+    now = record_digest(r.order_id, r.risk_score, r.risk_level, r.provenance) if risk_digest is None else risk_digest
+    ok = (now == r.record_digest) & (r.order_id == order_id) & r.risk_level.isin(*LEVELS)
     return F.when(F.coalesce(r.isNotNull() & ok, F.lit(False)), r.risk_level).otherwise("MEDIUM")
 
 
 def with_checks(chains: DataFrame, order_id: str = "expected_id") -> DataFrame:
     """Add the head block's checks c1 to c8 and its adaptive level. ``order_id`` names the expected id's column."""
-    head = F.element_at("chain", -1)
-    rows = chains.withColumn("__head", head)
-    rows = rows.withColumn("__ctx", _context(F.col("chain"), F.col("__head")))
-    found = checks(F.col("__ctx"), F.col("__head"), F.col(order_id))
-    return rows.withColumns({**found, "level": adaptive_level(F.col("__head"), F.col(order_id))}).drop("__head", "__ctx")
+    rows = chains.withColumn("__head", F.element_at("chain", -1)).withColumn("__hashes", F.transform("chain", block_hash))
+    head, r = F.col("__head"), F.col("__head.ai_risk_reference")
+    rows = rows.withColumn("__risk", record_digest(r.order_id, r.risk_score, r.risk_level, r.provenance))
+    found = checks(F.col("chain"), head, F.col(order_id), F.col("__hashes"), F.col("__risk"))
+    return rows.withColumns({**found, "level": adaptive_level(head, F.col(order_id), F.col("__risk"))}).drop("__head", "__hashes", "__risk")
 
 
 def verdicts(checked: DataFrame) -> DataFrame:
@@ -262,6 +304,20 @@ def verdicts(checked: DataFrame) -> DataFrame:
     return checked.withColumns({"accepted_B0": upto(4), "accepted_B1": upto(8), "accepted_P": adaptive})
 
 
+def verdict_lists(checked: DataFrame) -> DataFrame:
+    """Add applied, passed and failed: the names of the checks that the level's band holds, in order."""
+    n = F.when(F.col("level") == "LOW", BANDS["LOW"][0]).when(F.col("level") == "HIGH", BANDS["HIGH"][0]).otherwise(BANDS["MEDIUM"][0])
+    every = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("ok")) for c in CHECKS])
+    held = F.slice(every, F.lit(1), n)
+    names = lambda xs: F.transform(xs, lambda x: x["name"])
+    return checked.withColumns({"applied": names(held), "passed": names(F.filter(held, lambda x: x.ok)), "failed": names(F.filter(held, lambda x: ~x.ok))})
+
+
+def quorum(votes: Column) -> Column:
+    """Whether all validators agree and accept: any disagreement, a missing vote or no validator rejects."""
+    return (F.size(votes) > 0) & F.forall(votes, lambda v: F.coalesce(v, F.lit(False)))
+
+
 def operation_counts(levels: DataFrame, level: str = "level") -> DataFrame:
     """(policy, orders, checks, validators, runs): fixed policies and the adaptive one, over rows with a level."""
     n = levels.groupBy(F.col(level).alias("level")).agg(F.count("*").alias("n"))
