@@ -203,6 +203,10 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, INDEX_SCHEMA)
 
 
+#: Captures of a range that one task merges.
+RANGE_ROWS = 200_000
+
+
 class LoserTree:
     """k-way merge of sorted sequences of (key, item): the winner's path is replayed against losers."""
 
@@ -257,10 +261,11 @@ def merge_runs(runs: DataFrame, partitions: int | None = None) -> DataFrame:
     """The captures in order of (urlkey, ts, page_id): by partition, then by position in it.
 
     Null ids come first among equal URL keys and times, and ties are in order of archive
-    and offset. A range's rows are held as one Arrow table; ``partitions`` sets how many
-    ranges there are and so bounds it.
+    and offset. A range's rows are held as one Arrow table, so there are as many ranges as
+    keep each at about RANGE_ROWS rows, unless ``partitions`` says how many.
     """
-    n = partitions or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(least, -(-runs.count() // RANGE_ROWS))
     ranged = runs.repartitionByRange(n, "urlkey", "ts", "page_id").sortWithinPartitions(
         "run", "urlkey", "ts", F.col("page_id").asc_nulls_first(), "offset"
     )
