@@ -8,8 +8,8 @@ the level at which that ends has a closed form, so one window over the table of
 
 Documents are then taken whole as often as the source's target holds its size, and the
 rest of the target is filled in an order given by a seeded hash. Running sums use two
-levels (hash buckets, then rows of a bucket), so a source with a third of all rows is
-spread over all buckets. DataFrame functions only.
+levels (hash buckets, then rows of a bucket), and the buckets grow with the rows, so a
+source with a third of all rows is spread over all of them. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MAX_EPOCHS = 2.0
 SEED = 7
+#: Rows of a bucket if one source has them all, and the least number of buckets as a power of two.
+BUCKET_ROWS, LEAST_BITS = 50_000, 10
 
 
 def word_count(col: str | Column) -> Column:
@@ -67,9 +69,8 @@ def source_targets(sized: DataFrame, share: float = SHARE, max_epochs: float = M
 def _ordered(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """Rows with __whole repetitions, __quota words beyond them and __before, the words of
     the rows of the source that come earlier in the seeded order."""
-    rows = sized.withColumn("__h", hash60(F.lit(seed), F.col("doc_id"))).withColumn(
-        "__b", F.shiftright("__h", 50).cast("int")
-    )
+    bits = max(LEAST_BITS, (sized.count() // BUCKET_ROWS).bit_length())  # a written table
+    rows = sized.withColumn("__h", hash60(F.lit(seed), F.col("doc_id"))).withColumn("__b", F.shiftright("__h", 60 - bits).cast("int"))
     per_bucket = rows.groupBy("source", "__b").agg(F.sum("size").alias("__s"))
     up = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_bucket.withColumn("__start", F.coalesce(F.sum("__s").over(up), F.lit(0)))

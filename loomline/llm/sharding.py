@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from ._common import hash60, materialize, text_or_empty
 
 SHARDS = 8
-#: Parts of a shard within which rows are numbered. Fixed: the table of their counts has
-#: shards x SLOT_PARTS rows at any input size.
-SLOT_PARTS = 256
+#: Parts of a shard within which rows are numbered: at least so many, and more where a part
+#: would have more than PART_ROWS rows. The table of their counts has a row a part.
+SLOT_PARTS, PART_ROWS = 256, 100_000
 
 
 @dataclass(frozen=True)
@@ -102,9 +102,11 @@ def shard_rows(
         "*",
         shard_of(key, tree).cast("int").alias("shard"),
         shard_of(key, grown).cast("int").alias("grown_shard"),
-        F.pmod(hash60(key, F.lit("part")) + F.col("text_crc32"), F.lit(SLOT_PARTS)).cast("int").alias("__part"),
+        (hash60(key, F.lit("part")) + F.col("text_crc32")).alias("__part"),
     )
     rows = materialize(rows, "shard-rows")
+    parts = max(SLOT_PARTS, -(-rows.count() // (len(tree) * PART_ROWS)))
+    rows = rows.withColumn("__part", F.pmod("__part", F.lit(parts)))
     counts = rows.groupBy("shard", "__part").agg(F.count("*").alias("__n"))
     up = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
@@ -113,8 +115,8 @@ def shard_rows(
     inside = Window.partitionBy("shard", "__part").orderBy("doc_id", "text_crc32", "size")
     return (
         rows.withColumn("__i", F.row_number().over(inside) - 1)
-        # one row for each part of each shard: bounded by the layout, not by the data
-        .join(F.broadcast(starts), (F.col("shard") == F.col("__shard")) & (F.col("__part") == F.col("__p")))
+        # one row for each part of each shard: a hundred thousandth of the rows, left to the planner
+        .join(starts, (F.col("shard") == F.col("__shard")) & (F.col("__part") == F.col("__p")))
         .select(
             "doc_id",
             "size",
