@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ._common import text_or_empty
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 #: Characters before and after a span in which context words count.
 CONTEXT = 48
 #: Spans of the added kinds below this score are not reported.
@@ -30,6 +30,7 @@ SCORES = {
     "phone": (0.7, r"phone|call|tel|mobile|fax", r"serial|order"),
     "iban": (0.8, r"iban|bank|account|konto|transfer", r"serial|hash"),
     "ssn": (0.3, r"\bssn\b|social security|tax", r"serial|order|part"),
+    "secret": (0.4, r"passw|token|secret|key|credential|login", r"example|placeholder|checksum"),
 }
 
 _AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -49,6 +50,10 @@ _IBAN_LENGTH = {
     ).split()
 }
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: An access key by its form, or what a name such as password is set to.
+_SECRET = re.compile(
+    r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:passw(?:or)?d|token|secret|api[_-]?key)[\x20\"']{0,2}[=:][\x20\"']{0,2}(?P<value>[A-Za-z0-9+/_-]{12,}+))"
+)
 _UP = {k: re.compile(v[1], re.I) for k, v in SCORES.items()}
 _DOWN = {k: re.compile(v[2], re.I) for k, v in SCORES.items()}
 _DIGIT = re.compile(r"[0-9]")
@@ -130,9 +135,21 @@ def ibans(text: str) -> Iterator[tuple[int, int]]:
                 break
 
 
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values that look drawn at random: letters and digits, eight different characters or more."""
+    for m in _SECRET.finditer(text):
+        start, end = m.span("value") if m["value"] else m.span()
+        value = text[start:end]
+        if len(set(value)) >= 8 and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
+            yield start, end
+
+
 def _added(text: str) -> Iterator[tuple[int, int, str]]:
     for a, b in ibans(text):
         yield a, b, "iban"
+    for a, b in secrets(text):
+        # an access key is known by its form, a value by the name before it
+        yield a, b, "secret"
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield *m.span(), "ssn"
@@ -141,7 +158,8 @@ def _added(text: str) -> Iterator[tuple[int, int, str]]:
 def score(text: str, start: int, end: int, kind: str) -> float:
     """The kind's base score, moved by context words within reach and kept in 0 to 1."""
     near = text[max(0, start - CONTEXT) : start] + "\0" + text[end : end + CONTEXT]
-    value = SCORES[kind][0] + 0.3 * bool(_UP[kind].search(near)) - 0.3 * bool(_DOWN[kind].search(near))
+    base = 0.9 if kind == "secret" and text.startswith("AKIA", start) else SCORES[kind][0]
+    value = base + 0.3 * bool(_UP[kind].search(near)) - 0.3 * bool(_DOWN[kind].search(near))
     return min(1.0, max(0.0, round(value, 3)))
 
 
@@ -183,7 +201,8 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def pii_digest(found: DataFrame) -> DataFrame:
-    """The columns of the query: counts of the base kinds, their digest, and all spans."""
+    """The columns of the query: counts of the base kinds, their digest, all spans, how many
+    these are, and the largest score among them (null: none)."""
 
     def count(kind: str):
         return F.size(F.filter("found", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
@@ -197,6 +216,8 @@ def pii_digest(found: DataFrame) -> DataFrame:
         *[count(k) for k in KINDS[:4]],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
+        F.size("found").cast("long").alias("n_spans"),
+        F.array_max(F.transform("found", lambda x: x.score)).alias("max_score"),
     )
 
 
