@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clean_category
+from . import ranks
 
 OTHER = "__OTHER__"
 
@@ -73,7 +74,9 @@ def mask_negatives(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: median, mean and population deviation of the imputed values of each column."""
-    medians = train.agg(*[F.percentile(c, F.lit(0.5)).alias(f"med_{c}") for c in columns])
+    long = train.select(F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])))
+    found = ranks.quantiles(long, "v", [0.5], ["m"], ["c"])  # a row a column
+    medians = found.agg(*[F.max(F.when(F.col("c") == i, F.col("m"))).alias(f"med_{c}") for i, c in enumerate(columns)])
     imputed = train.join(F.broadcast(medians)).select(  # one row
         *[F.coalesce(F.col(c), F.col(f"med_{c}")).alias(c) for c in columns], *[f"med_{c}" for c in columns]
     )

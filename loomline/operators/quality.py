@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def drop_sparse_rows(df: DataFrame, columns: Sequence[str], threshold: float) -> DataFrame:
     """Keep rows with at least ``int(threshold * columns)`` values that are not null."""
@@ -89,21 +91,19 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles (linear) and maximum of each column, on long rows."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])))
-    return long.groupBy("column_name").agg(*describe("v", quartiles=True))
+    names = ["q1", "median", "q3"]
+    rows = ranks.with_quantiles(long.groupBy("column_name").agg(*describe("v")), ranks.quantiles(long, "v", [0.25, 0.5, 0.75], names, ["column_name"]), ["column_name"])
+    return rows.withColumns({n: F.round(n, 4) for n in names})
 
 
-def describe(v: str, quartiles: bool = False, digits: int = 4) -> list[Column]:
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = [
+def describe(v: str, digits: int = 4) -> list[Column]:
+    return [
         F.count(v).alias("n"),
         F.round(F.avg(v), digits).alias("mean"),
         F.round(F.stddev_samp(v), digits).alias("sd"),
         F.round(F.min(v), digits).alias("min"),
         F.round(F.max(v), digits).alias("max"),
     ]
-    if quartiles:
-        out += [F.round(q[i], digits).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
-    return out
 
 
 def top_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import hash_index, stable_hash
+from . import ranks
 
 SPLITS = ("train", "validation", "test")
 
@@ -44,19 +45,12 @@ def chronological_split(df: DataFrame, time: str, ratios: Sequence[float] = (0.7
     """Add ``split`` by time: cut points are counts rounded half to even.
 
     Whole instants stay together: an instant goes where its first row falls. Counts per
-    instant are summed up instead of numbering all rows in one task.
+    instant are summed up in two levels instead of numbering all rows in one task. Rows
+    without a time are left out.
     """
-    per = df.groupBy(time).agg(F.count("*").alias("__n"))
-    w = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    named = (
-        per.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-        .withColumn("__total", F.sum("__n").over(every))
-        .withColumn("__a", F.bround(F.col("__total") * ratios[0]))
-        .withColumn("__b", F.bround(F.col("__total") * (ratios[0] + ratios[1])))
-        .select(time, F.when(F.col("__before") < F.col("__a"), SPLITS[0]).when(F.col("__before") < F.col("__b"), SPLITS[1]).otherwise(SPLITS[2]).alias("split"))
-    )
-    return df.join(named, time)
+    a, b = F.bround(F.col("total") * ratios[0]), F.bround(F.col("total") * (ratios[0] + ratios[1]))
+    name = F.when(F.col("before") < a, SPLITS[0]).when(F.col("before") < b, SPLITS[1]).otherwise(SPLITS[2])
+    return df.join(ranks.counted(df, time).select(time, name.alias("split")), time)
 
 
 def identity_overlap(df: DataFrame, key: str) -> DataFrame:

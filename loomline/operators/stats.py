@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import relative_loss, set_jaccard
+from . import ranks
 
 #: Fixed value: the 97.5 % quantile of Student's t with 4 degrees of freedom.
 T_975_DF4 = 2.7764451051977987
@@ -23,15 +24,15 @@ def group_describe(df: DataFrame, by: Sequence[str], value: str, digits: int = 4
     """n, mean, sd (n - 1), min, median, max and variation of each group; null keys are a group."""
     v = F.col(value)
     mean, sd = F.avg(v), F.stddev_samp(v)
-    return df.groupBy(*by).agg(
+    rows = df.groupBy(*by).agg(
         F.count(v).alias("n"),
         F.round(mean, digits).alias("mean"),
         F.round(sd, digits).alias("sd"),
         F.round(F.min(v), digits).alias("min"),
-        F.round(F.percentile(v, F.lit(0.5)), digits).alias("median"),
         F.round(F.max(v), digits).alias("max"),
         F.round(cv_percent(mean, sd), digits).alias("cv_percent"),
     )
+    return ranks.with_quantiles(rows, ranks.quantiles(df, value, [0.5], ["median"], by), by).withColumn("median", F.round("median", digits))
 
 
 def two_level(df: DataFrame, by: Sequence[str], seed: str, value: str, digits: int = 4) -> DataFrame:
@@ -128,10 +129,8 @@ def pearson_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -> Da
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Add ``rank``: the mean position of equal values, from counts of distinct values."""
-    per = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = per.withColumn("rank", F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
-    return df.join(ranks, [*by, value])
+    found = ranks.counted(df, value, by).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    return df.join(found.select(*by, value, "rank"), [*by, value])
 
 
 def spearman(df: DataFrame, a: str, b: str, by: Sequence[str], digits: int = 6) -> DataFrame:
@@ -221,8 +220,8 @@ def contamination_sensitivity(scores: DataFrame, shares: Sequence[float], by: Se
 
     Thresholds are quantiles of all scores, which come as one row.
     """
-    cut = scores.agg(F.percentile(score, F.array(*[F.lit(1 - s) for s in shares])).alias("t"))
-    table = cut.select(F.inline(F.array(*[F.struct(F.lit(float(s)).alias("contamination"), F.col("t")[i].alias("threshold")) for i, s in enumerate(shares)])))
+    cut = ranks.quantiles(scores, score, [1 - s for s in shares], [f"t{i}" for i in range(len(shares))])
+    table = cut.select(F.inline(F.array(*[F.struct(F.lit(float(s)).alias("contamination"), F.col(f"t{i}").alias("threshold")) for i, s in enumerate(shares)])))
     rows = scores.join(F.broadcast(table))
     hit = F.col(score) > F.col("threshold")
     return rows.groupBy(*by, "contamination").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import min_max, temporal, unsigned_zero
-from ..operators import features
+from ..operators import features, ranks
 from ..operators.split import hash_split
 from ..operators.views import order_lines
 from ..session import table
@@ -111,7 +111,7 @@ SELECT event_id, round(coalesce(CASE WHEN event_id % 5 <> 0 THEN value END, m),
 """)
 def impute_median(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
-    median = rows.agg(F.percentile("value", F.lit(0.5)).alias("m"))
+    median = ranks.quantiles(rows, "value", [0.5], ["m"])
     return rows.join(F.broadcast(median)).select("event_id", F.round(F.coalesce("value", "m"), 6).alias("value"))  # one row
 
 

@@ -83,3 +83,25 @@ def test_model_is_saved_and_loaded(spark, tmp_path):
     spark.createDataFrame([("0", ["a"], 1)], "version string, columns array<string>, nodes int").write.mode("overwrite").json(f"{path}/metadata")
     with pytest.raises(ValueError, match="version 0"):
         classify.load(path, spark)
+
+
+def test_quantiles_and_positions_by_group(spark):
+    import random
+    import statistics
+
+    from loomline.operators import ranks
+
+    rng = random.Random(4)
+    rows = [(g, None if rng.random() < 0.05 else float(rng.choice((rng.randint(0, 9), rng.gauss(0, 100))))) for g in ("a", "b", None) for _ in range(300)]
+    rows += [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.q1, r.m) for r in ranks.quantiles(df, "v", [0.25, 0.5], ["q1", "m"], ["g"]).collect()}
+    assert set(got) == {"a", "b", None, "one"} and got["one"] == (3.0, 3.0)
+    for g in ("a", "b", None):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == pytest.approx((statistics.quantiles(own, n=4, method="inclusive")[0], statistics.median(own)))
+        before = {r.v: r.before for r in ranks.counted(df, "v", ["g"]).collect() if r.g == g}
+        assert before == {v: own.index(v) for v in set(own)}
+    whole = sorted(v for _, v in rows if v is not None)
+    assert ranks.quantiles(df, "v", [0.5], ["m"]).first().m == pytest.approx(statistics.median(whole))
+    assert ranks.quantiles(df.filter("g = 'none'"), "v", [0.5], ["m"]).first().m is None
