@@ -80,6 +80,21 @@ def discard(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+#: Rows of an Arrow batch of texts, and Spark's default, which it replaces.
+TEXT_ROWS, _DEFAULT_ROWS = 2000, 10_000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Have texts go to Python in smaller batches, unless the session says how large they are.
+
+    Spark reads the setting when it plans a query, so it stays set. A batch is held by the
+    executor and by the worker, each with room to grow: ten thousand texts are some 100 MB.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, str(_DEFAULT_ROWS))) == _DEFAULT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def tidy() -> None:
     """Give the memory of a worker's finished task back to the system: workers live on."""
     gc.collect()

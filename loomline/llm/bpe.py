@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_or_empty, tidy
+from ._common import text_batches, text_or_empty, tidy
 
 #: Words in a generation of the words whose ids a worker remembers, and characters of the
 #: longest one: two generations of such words take about 60 MB.
@@ -221,6 +221,7 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
                 yield encoded(batch.slice(start), codec)
         tidy()
 
+    text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_or_empty, tidy
+from ._common import text_batches, text_or_empty, tidy
 
 #: Bounds of the training sample: documents a language and windows a document, which are
 #: spread over the whole text.
@@ -330,6 +330,7 @@ def predict(df: DataFrame, model: Model, text_col: str | Column = "text") -> Dat
     language was learned. Prediction reads nothing but the text, and only the text goes
     through Python.
     """
+    text_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
 
     @F.arrow_udf("lang_pred string, score double")

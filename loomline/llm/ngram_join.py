@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, marked, materialize, one_space, text_or_empty, tidy
+from ._common import discard, marked, materialize, one_space, text_batches, text_or_empty, tidy
 from .graph import components
 from .words import STEP, Words, mixed
 
@@ -143,6 +143,7 @@ def signatures(
             )
         tidy()
 
+    text_batches(df.sparkSession)
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), class_key(text_col).alias("node"), text_or_empty(text_col).cast("binary").alias("text"))
     return source.mapInArrow(run, "doc_id long, node binary, grams long, bands array<long>")
 

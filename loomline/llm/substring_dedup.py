@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ngram_join
-from ._common import discard, marked, materialize, text_or_empty, tidy
+from ._common import discard, marked, materialize, text_batches, text_or_empty, tidy
 from .words import Rolling, Words, code_points
 
 #: Words that a paragraph must have to be compared.
@@ -111,6 +111,7 @@ def paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         yield part()
         tidy()
 
+    text_batches(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, para long, start long, end long, node binary, grams long, bands array<long>")
 
