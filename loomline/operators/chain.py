@@ -384,13 +384,17 @@ def _edited(c: Column, o: Column, scenario: str) -> Column:
 def tamper(chains: DataFrame, *scenarios: str) -> DataFrame:
     """The chains after each of the scenarios, on copies. They need five blocks; ``expected_id``
     is the true id. A chain is built once, however many scenarios it goes through."""
+    return tamper_as_named(chains.withColumn("scenario", F.explode(F.array(*[F.lit(x) for x in scenarios]))), *scenarios)
+
+
+def tamper_as_named(chains: DataFrame, *scenarios: str) -> DataFrame:
+    """The chains after the scenario that each row names; ``scenarios`` are those that occur."""
     c, o, s = F.col("chain"), F.col("expected_id"), F.col("scenario")
     new = None
     for x in scenarios:
         edited = _edited(c, o, x)
         new = F.when(s == x, edited) if new is None else new.when(s == x, edited)
-    rows = chains.withColumn("scenario", F.explode(F.array(*[F.lit(x) for x in scenarios])))
-    return rows.withColumn("declared", F.size(c)).withColumn("chain", new)
+    return chains.withColumn("declared", F.size(c)).withColumn("chain", new)
 
 
 def first_broken_link(chain: Column) -> Column:
@@ -487,6 +491,33 @@ def verify_ledger(linked: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
+def ledger_seals(linked: DataFrame, fan: int = 64, levels: int = 5) -> DataFrame:
+    """(level, part, n, digest): level 0 seals the head and the number of blocks of each ledger, each
+    further level ``fan`` seals of the one below, in order.
+
+    The seal at the top covers all blocks, so a ledger that is lost, added or moved shows,
+    though its own links hold. No task gathers more than ``fan`` seals.
+    """
+    one = linked.groupBy(F.col("ledger_id").alias("part")).agg(F.count("*").alias("n"), F.max_by("block_hash", "block_id").alias("head"))
+    rows = one.select(F.lit(0).alias("level"), "part", "n", sha(F.concat_ws("|", F.col("part").cast("string"), F.col("n").cast("string"), "head")).alias("digest"))
+    out = rows
+    for level in range(1, levels):
+        listed = F.array_sort(F.collect_list(F.struct("part", "digest")))
+        rows = rows.groupBy(F.floor(F.col("part") / fan).cast("long").alias("up")).agg(
+            F.sum("n").alias("n"), sha(F.array_join(F.transform(listed, lambda x: F.concat_ws(":", x.part.cast("string"), x.digest)), "|")).alias("digest")
+        )
+        rows = rows.select(F.lit(level).alias("level"), F.col("up").alias("part"), "n", "digest")
+        out = out.unionByName(rows)
+    return out
+
+
+def verify_seals(linked: DataFrame, seals: DataFrame, fan: int = 64, levels: int = 5) -> DataFrame:
+    """(level, part, ok): whether each seal still comes out of the blocks; a part that is on one side only is not ok."""
+    now = ledger_seals(linked, fan, levels).select("level", "part", F.struct("n", "digest").alias("now"))
+    then = seals.select("level", "part", F.struct("n", "digest").alias("then"))
+    return now.join(then, ["level", "part"], "full_outer").select("level", "part", F.coalesce(F.col("now") == F.col("then"), F.lit(False)).alias("ok"))
+
+
 def global_root(heads: DataFrame, key: str, digest: str) -> DataFrame:
     """One row (root, n): digests of buckets of keys, then the digest of these. Buckets bound what a task gathers."""
     rows = heads.select(F.sha2(F.col(key).cast("string"), 256).alias("k"), F.concat_ws(":", F.col(key).cast("string"), F.col(digest)).alias("x"))

@@ -36,8 +36,7 @@ _F = "CASE WHEN ('0x' || right(h, 1))::INT % 2 = 0 THEN 0.7::DOUBLE ELSE 1.35::D
 
 @query(f"WITH {_VALUE} SELECT id AS record_id, 'total' AS original_field, round(total, 6) AS original, round(total * {_F}, 6) AS modified FROM m")
 def attack_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    number = lambda c, n: F.round(F.col(c).cast("double"), 6).alias(n)
-    return manifest(spark, sf).select("record_id", "original_field", number("original_value", "original"), number("modified_value", "modified"))
+    return _numbers(manifest(spark, sf))
 
 
 _STATUS = _TAKEN.format(name="transaction_status_manipulation", cols="o_orderstatus AS s", where="o_orderstatus IS NOT NULL")
@@ -63,6 +62,59 @@ def attack_manifest_timestamp(spark: SparkSession, sf: str) -> DataFrame:
     return manifest(spark, sf, "timestamp_manipulation").select("record_id", "original_value", "modified_value")
 
 
+_QUANTITY = _TAKEN.format(name="quantity_manipulation", cols="(o_custkey % 50)::DOUBLE AS q", where="o_custkey % 50 > 0")
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
+    number = lambda c, n: F.round(F.col(c).cast("double"), 6).alias(n)
+    return rows.select("record_id", "original_field", number("original_value", "original"), number("modified_value", "modified"))
+
+
+@query(f"""
+WITH {_QUANTITY} SELECT id AS record_id, 'quantity' AS original_field, q AS original,
+round(q * CASE WHEN ('0x' || right(h, 1))::INT % 2 = 0 THEN 0.6::DOUBLE ELSE 1.5::DOUBLE END, 6) AS modified FROM m
+""")
+def attack_manifest_quantity(spark: SparkSession, sf: str) -> DataFrame:
+    return _numbers(manifest(spark, sf, "quantity_manipulation"))
+
+
+_DAYS = _TAKEN.format(name="shipping_delivery_manipulation", cols="substr(o_orderpriority, 1, 1)::DOUBLE AS d", where="o_orderpriority IS NOT NULL")
+
+
+@query(f"""
+WITH {_DAYS}, x AS (SELECT *, greatest(d + CASE WHEN ('0x' || right(h, 1))::INT % 2 = 0 THEN -3 ELSE 3 END, 0) AS moved FROM m)
+SELECT id AS record_id, 'days_scheduled' AS original_field, d AS original, CASE WHEN moved = d THEN d + 3 ELSE moved END AS modified FROM x
+""")
+def attack_manifest_offset(spark: SparkSession, sf: str) -> DataFrame:
+    return _numbers(manifest(spark, sf, "shipping_delivery_manipulation"))
+
+
+_ROUTE = _TAKEN.format(name="geographic_route_manipulation", cols="o_orderpriority AS s", where="o_orderpriority IS NOT NULL")
+
+
+@query(f"""
+WITH {_ROUTE}, l AS (SELECT list_sort(list(DISTINCT o_orderpriority)) AS ls FROM orders),
+x AS (SELECT id, s, ls[(list_position(ls, s) - 1 + 2) % len(ls) + 1] AS t, ls[(list_position(ls, s) - 1 + 1) % len(ls) + 1] AS u FROM m, l)
+SELECT id AS record_id, s AS original_value, CASE WHEN t = s THEN u ELSE t END AS modified_value FROM x
+""")
+def attack_manifest_route(spark: SparkSession, sf: str) -> DataFrame:
+    return manifest(spark, sf, "geographic_route_manipulation").select("record_id", "original_value", "modified_value")
+
+
+_RECORD = _TAKEN.format(name="transaction_record_tampering", cols="(o_custkey % 50)::DOUBLE AS q, o_totalprice AS t", where="o_custkey % 50 > 0 OR o_totalprice > 0")
+
+
+@query(f"""
+WITH {_RECORD}, b AS (SELECT *, ('0x' || right(h, 1))::INT AS bit FROM m),
+x AS (SELECT *, CASE WHEN bit % 2 = 0 THEN 0.6::DOUBLE ELSE 1.5::DOUBLE END AS f, NOT q > 0 OR (t > 0 AND bit // 2 % 2 = 1) AS on_total FROM b)
+SELECT id AS record_id, CASE WHEN on_total THEN 'total' ELSE 'quantity' END AS original_field,
+round(CASE WHEN on_total THEN t ELSE q END, 6) AS original, round(f * CASE WHEN on_total THEN t ELSE q END, 6) AS modified FROM x
+""")
+def attack_manifest_record(spark: SparkSession, sf: str) -> DataFrame:
+    """Of two fields, the digest names the one that changes; a row with one usable field changes there."""
+    return _numbers(manifest(spark, sf, "transaction_record_tampering"))
+
+
 @query(f"""
 WITH {_VALUE} SELECT o_orderkey AS record_id, round(CASE WHEN m.id IS NULL THEN o_totalprice ELSE o_totalprice * {_F} END, 6) AS total
 FROM orders LEFT JOIN m ON o_orderkey = m.id

@@ -32,27 +32,35 @@ def ledger_blocks_of_8(spark: SparkSession, sf: str) -> DataFrame:
     return chain.ledger(transactions(spark, sf), "id", "d")
 
 
-@query(f"""
-WITH RECURSIVE {_BLOCKS}, c AS (
+_LINKS = f"""{_BLOCKS}, c AS (
   SELECT (block_id - 1) // 64 AS ledger_id, block_id, sha256('genesis|' || (block_id - 1) // 64) AS previous_hash,
          sha256(block_id || '|' || sha256('genesis|' || (block_id - 1) // 64) || '|' || tx_root) AS block_hash FROM b WHERE (block_id - 1) % 64 = 0
   UNION ALL
   SELECT c.ledger_id, b.block_id, c.block_hash, sha256(b.block_id || '|' || c.block_hash || '|' || b.tx_root) FROM c JOIN b ON b.block_id = c.block_id + 1 WHERE (b.block_id - 1) % 64 <> 0
-) SELECT * FROM c
-""")
+)"""
+
+
+@query(f"WITH RECURSIVE {_LINKS} SELECT * FROM c")
 def ledger_links(spark: SparkSession, sf: str) -> DataFrame:
     return chain.link_ledger(ledger_blocks_of_8(spark, sf)).select("ledger_id", "block_id", "previous_hash", "block_hash")
 
 
-@query(f"WITH {_TX}, b AS (SELECT DISTINCT id // 8 + 1 AS block_id FROM tx) SELECT block_id, true AS content_ok, true AS hash_ok, true AS link_ok FROM b")
+def _verify_sql(edited: str) -> str:
+    """The checks of all blocks, with the digests of transactions that are ``edited`` after sealing."""
+    return f"""
+WITH RECURSIVE {_LINKS}, e AS (SELECT id // 8 + 1 AS block_id, sha256(string_agg(CASE WHEN {edited} THEN sha256('edited') ELSE d END, '|' ORDER BY id)) AS root FROM tx GROUP BY 1),
+p AS (SELECT *, coalesce(lag(block_hash) OVER (PARTITION BY ledger_id ORDER BY block_id), sha256('genesis|' || ledger_id)) AS before FROM c),
+v AS (SELECT block_id, root = tx_root AS content_ok, sha256(block_id || '|' || previous_hash || '|' || root) = block_hash AS hash_ok, previous_hash = before AS link_ok
+FROM p JOIN b USING (block_id) JOIN e USING (block_id))"""
+
+
+@query(f"{_verify_sql('false')} SELECT * FROM v")
 def ledger_verify(spark: SparkSession, sf: str) -> DataFrame:
     blocks = ledger_blocks_of_8(spark, sf)
     return chain.verify_ledger(chain.link_ledger(blocks), blocks)
 
 
-@query(f"""
-WITH {_TX}, t AS (SELECT DISTINCT id // 8 + 1 AS block_id, FROM tx WHERE id % 1000 = 77) SELECT block_id, false AS content_ok, false AS hash_ok, true AS link_ok FROM t
-""")
+@query(f"{_verify_sql('id % 1000 = 77')} SELECT * FROM v WHERE NOT (content_ok AND hash_ok AND link_ok)")
 def tamper_report(spark: SparkSession, sf: str) -> DataFrame:
     """Transactions edited after sealing: their blocks fail, their links still hold."""
     tx = transactions(spark, sf)
@@ -61,6 +69,24 @@ def tamper_report(spark: SparkSession, sf: str) -> DataFrame:
     return report.filter("NOT (content_ok AND hash_ok AND link_ok)")
 
 
+_SEALS = f"""{_LINKS}, z0 AS (SELECT ledger_id AS part, count(*) AS n, sha256(ledger_id || '|' || count(*) || '|' || arg_max(block_hash, block_id)) AS digest FROM c GROUP BY 1)""" + "".join(
+    f", z{i} AS (SELECT part // 64 AS part, sum(n)::BIGINT AS n, sha256(string_agg(part || ':' || digest, '|' ORDER BY part)) AS digest FROM z{i - 1} GROUP BY 1)" for i in range(1, 5)
+)
+
+
+@query(f"WITH RECURSIVE {_SEALS} " + " UNION ALL ".join(f"SELECT {i} AS level, part, n, digest FROM z{i}" for i in range(5)))
+def ledger_seals(spark: SparkSession, sf: str) -> DataFrame:
+    return chain.ledger_seals(chain.link_ledger(ledger_blocks_of_8(spark, sf)))
+
+
+@query(f"""WITH RECURSIVE {_LINKS}, l AS (SELECT DISTINCT ledger_id AS k, ledger_id % 3 = 1 AS lost FROM c)
+""" + " UNION ALL ".join(f"SELECT {i} AS level, k // {64 ** i} AS part, NOT bool_or(lost) AS ok FROM l GROUP BY 2" for i in range(5)))
+def ledger_lost(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole ledgers go after sealing: the links of the others hold, the seals above the lost ones do not."""
+    linked = chain.link_ledger(ledger_blocks_of_8(spark, sf))
+    return chain.verify_seals(linked.filter("ledger_id % 3 <> 1"), chain.ledger_seals(linked))
+
+
 _LINES = """
 , d AS (SELECT order_id, item_id, sha256('{"order_id":"' || order_id || '","quantity":' || quantity::BIGINT || ',"status":"' || order_status || '","total_cents":' ||
        round(total * 100)::BIGINT || ',"transaction_id":"' || item_id || '"}') AS d FROM order_lines),
@@ -113,9 +139,9 @@ _CHAIN = f"""{_ORDERS}, e AS (
 def _level(n: int, ref: str, ts: str, event: str, payload: str, previous: str, policy: str) -> str:
     link = f"'\"' || {previous} || '\"'" if previous else "'null'"
     return (
-        f", h{n} AS (SELECT *, sha256('{{\"ai_risk_reference\":' || {ref} || ',\"block_index\":{n},\"event_timestamp\":\"' || {ts} || '\",\"event_type\":\"{event}\",\"order_id\":\"' || oid || "
-        f"'\",\"payload_digest\":\"' || {payload} || '\",\"payload_ref\":null,\"previous_hash\":' || {link} || ',\"schema_version\":\"1.1\",\"validation_policy\":\"AUTHORIZED_VALIDATOR_' || {policy} || '\"}}') "
-        f"AS s{n} FROM {'b0' if n == 0 else f'h{n - 1}'})"
+        f", h{n} AS (SELECT *, '{{\"ai_risk_reference\":' || {ref} || ',\"block_index\":{n},\"event_timestamp\":\"' || {ts} || '\",\"event_type\":\"{event}\",\"order_id\":\"' || oid || "
+        f"'\",\"payload_digest\":\"' || {payload} || '\",\"payload_ref\":null,\"previous_hash\":' || {link} || ',\"schema_version\":\"1.1\",\"validation_policy\":\"AUTHORIZED_VALIDATOR_' || {policy} || '\"}}' "
+        f"AS t{n}, sha256(t{n}) AS s{n} FROM {'b0' if n == 0 else f'h{n - 1}'})"
     )
 
 
@@ -220,14 +246,13 @@ def tamper_matrix_detection(spark: SparkSession, sf: str) -> DataFrame:
     return chain.verdicts(chain.with_checks(out)).groupBy("scenario", "band").agg(F.count("*").alias("n"), hit("B0"), hit("B1"), hit("P"))
 
 
-@query(f"""{_HASHES} SELECT count(*) AS orders, sum(strlen('{{"delivery_status":"' || ds || '","order_id":"' || oid || '"}}'))::BIGINT AS bytes FROM h4""")
-def storage_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """Bytes of the canonical delivery payloads of all orders."""
-    from ..functions.scalar import canonical_json
+_BYTES = "sum(strlen(t0) + strlen(t1) + strlen(t2) + strlen(t3) + strlen(t4))::BIGINT AS bytes"
 
-    events = chain.order_events(order_lines(spark, sf))
-    text = canonical_json(order_id=json_string(F.col("order_id").cast("string")), delivery_status=json_string("delivery_status"))
-    return events.agg(F.count("*").alias("orders"), F.sum(F.octet_length(text)).alias("bytes"))
+
+@query(f"{_HASHES} SELECT count(*) AS orders, 5 * count(*) AS blocks, {_BYTES} FROM h4")
+def storage_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of the canonical blocks of all orders."""
+    return chains(spark, sf).agg(F.count("*").alias("orders"), F.sum(F.size("chain")).alias("blocks"), F.sum(experiments.block_bytes()).alias("bytes"))
 
 
 def _workload_sql() -> str:
@@ -252,3 +277,37 @@ SELECT seed, workload, policy, count(*) FILTER (WHERE NOT hit) AS untouched, cou
 def fault_isolation(spark: SparkSession, sf: str) -> DataFrame:
     """One order of each workload has its chain re-keyed: the others stay accepted under every policy."""
     return experiments.isolation(experiments.attacked(experiments.workloads(chains(spark, sf)), "PA-08"))
+
+
+_SPENT = "unnest([{{'policy': 'B0', 'c': 4, 'v': 1}}, {{'policy': 'B1', 'c': 8, 'v': 3}}, {{'policy': 'P', 'c': {c}, 'v': {v}}}])".format(
+    c="CASE level WHEN 'LOW' THEN 4 WHEN 'MEDIUM' THEN 6 ELSE 8 END", v="CASE level WHEN 'HIGH' THEN 3 ELSE 1 END"
+)
+
+
+@query(f"""{_workload_sql()}, u AS (SELECT seed, workload, {_SPENT} AS x FROM wl)
+SELECT seed, workload, x.policy AS policy, count(*) AS orders, count(*) AS accepted, 0::BIGINT AS rejected, count(*) AS constructed,
+{", ".join(f"count(*) FILTER (WHERE x.c >= {i}) AS n_c{i}" for i in range(1, 9))} FROM u GROUP BY ALL""")
+def functional_correctness(spark: SparkSession, sf: str) -> DataFrame:
+    """Clean chains: every policy accepts all of them, and applies the checks of its band."""
+    return experiments.functional(experiments.workloads(chains(spark, sf)))
+
+
+#: where each scenario leaves its evidence in a chain of five blocks
+_PLACES = {"PA-02": "block 1", "PA-03": "block 2", "PA-05": "genesis", "PA-08": "chain"}
+_PLACE_SQL = "CASE scenario " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _PLACES.items()) + " ELSE 'head' END"
+
+
+@query(f"""{_workload_sql()}, w AS (SELECT * FROM (VALUES {_VERDICTS}) t(scenario, level, b0, b1, p)),
+t AS (SELECT * FROM wl JOIN w USING (level) WHERE position - 1 = ('0x' || substr(sha256('{{"scenario":"' || scenario || '","seed":' || seed || ',"workload":' || workload || '}}'), 57, 8))::BIGINT % workload),
+x AS (SELECT *, unnest([{{'policy': 'B0', 'hit': b0}}, {{'policy': 'B1', 'hit': b1 AND NOT (scenario = 'PA-06' AND s >= 1)}}, {{'policy': 'P', 'hit': p}}]) AS j FROM t)
+SELECT seed, workload, scenario, j.policy AS policy, order_id, j.hit AS detected, j.hit AS localized, CASE WHEN j.hit THEN {_PLACE_SQL} ELSE 'undetected' END AS location FROM x""")
+def tamper_localization(spark: SparkSession, sf: str) -> DataFrame:
+    """One order of each workload and scenario is tampered with: which policies find it, and where."""
+    return experiments.localization(experiments.workloads(chains(spark, sf)))
+
+
+@query(f"""{_workload_sql()}, u AS (SELECT seed, workload, level, {_SPENT} AS x FROM wl)
+SELECT seed, workload, level, x.policy AS policy, count(*) AS orders, sum(x.c)::BIGINT AS checks, sum(x.v)::BIGINT AS validators FROM u GROUP BY ALL""")
+def adaptive_allocation(spark: SparkSession, sf: str) -> DataFrame:
+    return experiments.allocation(experiments.workloads(chains(spark, sf)))
+
