@@ -33,6 +33,28 @@ def group_mean_ratio(df: DataFrame, value: str, group: str) -> DataFrame:
     return df.join(means, group).withColumn("ratio", F.try_divide(F.col(value), F.col("__mean"))).drop("__mean")
 
 
+def basic_features(df: DataFrame, keys: Sequence[str], base: Sequence[str], total: str, quantity: str, time: str, product: str) -> DataFrame:
+    """The keys, ``base`` and amount_per_unit, log_total, hour, day_of_week, is_weekend, quantity_ratio, as doubles.
+
+    Rows of which fewer than half of the values are present go, then columns that still lack one.
+    A product's mean is over all rows with a quantity; a row without a product has no ratio.
+    """
+    means = df.groupBy(F.col(product).alias("__p")).agg(F.avg(F.col(quantity).cast("double")).alias("__mean"))
+    weekday = F.weekday(time)
+    named = {
+        **{c: F.col(c).cast("double") for c in base}, "amount_per_unit": F.try_divide(F.col(total).cast("double"), F.col(quantity).cast("double")),
+        "log_total": F.log1p(F.col(total).cast("double")), "hour": F.hour(time).cast("double"), "day_of_week": weekday.cast("double"),
+        "is_weekend": F.coalesce(weekday >= 5, F.lit(False)).cast("double"), "quantity_ratio": F.try_divide(F.col(quantity).cast("double"), F.col("__mean")),
+    }
+    rows = df.join(means, F.col(product) == F.col("__p"), "left").select(*keys, *[v.alias(k) for k, v in named.items()])
+    present = F.lit(0)
+    for c in named:
+        present += F.col(c).isNotNull().cast("int")
+    rows = rows.filter(present >= max(1, len(named) // 2))
+    holes = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in named]).first()  # one row
+    return rows.select(*keys, *[c for c in named if not holes[c]])
+
+
 def top_levels(train: DataFrame, columns: Sequence[str], k: int = 15) -> DataFrame:
     """(column_name, level, n, level_rank): the k most frequent levels, ties by level."""
     long = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), clean_category(c).alias("level")) for c in columns])))

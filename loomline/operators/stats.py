@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,8 +115,46 @@ def reduction_percent(base: Column, value: Column) -> Column:
     return F.try_divide(100.0 * (base - value), base)
 
 
+#: From more columns than these on, correlations come from products of Arrow batches.
+WIDE = 12
+
+
+def _wide_pearson(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
+    """As :func:`pearson_matrix`: a task gives sums for each pair of columns, of values less the column's mean."""
+    names, p = list(columns), len(columns)
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    span = rows.agg(*[f(f"c{i}").alias(f"{k}{i}") for i in range(p) for k, f in (("m", F.avg), ("lo", F.min), ("hi", F.max))]).first()  # one row
+    shift = np.array([span[f"m{i}"] or 0.0 for i in range(p)])
+    flat = [i for i in range(p) if span[f"lo{i}"] == span[f"hi{i}"]]
+    above = np.triu_indices(p, 1)
+    sums = ("n", "x", "y", "xx", "yy", "xy")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(sums), p, p))
+        for b in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) - shift
+            seen = ~np.isnan(x)
+            x, m = np.where(seen, x, 0.0), seen.astype(float)
+            total += [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (above[0].astype(np.int32), above[1].astype(np.int32), *(t[above] for t in total))], names=["i", "j", *sums])
+
+    per = rows.mapInArrow(add, "i int, j int, " + ", ".join(f"{c} double" for c in sums)).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    mean = lambda c: F.try_divide(F.col(c), F.col("n"))
+    vx, vy = mean("xx") - mean("x") * mean("x"), mean("yy") - mean("y") * mean("y")
+    usable = (vx > 0) & (vy > 0) & ~F.col("i").isin(flat) & ~F.col("j").isin(flat)
+    r = F.when(usable, (mean("xy") - mean("x") * mean("y")) / F.sqrt(vx) / F.sqrt(vy))
+    name = F.array(*[F.lit(c) for c in names])
+    return per.select(F.element_at(name, F.col("i") + 1).alias("a"), F.element_at(name, F.col("j") + 1).alias("b"), F.round(r, digits).alias("r"))
+
+
 def pearson_matrix(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    """(a, b, r) of each pair of columns, from sums of complete pairs in one pass; null for a constant."""
+    """(a, b, r) of each pair of columns, from sums of complete pairs in one pass; null for a constant.
+
+    An aggregate for each pair is fast for few columns; plans of thousands do not end, so that
+    wide frames are multiplied as matrices.
+    """
+    if len(columns) > WIDE:
+        return _wide_pearson(df, columns, digits)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     aggs = []
     for i, (a, b) in enumerate(pairs):
