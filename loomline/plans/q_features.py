@@ -51,13 +51,13 @@ def product_mean_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 , m AS (SELECT product_id, avg(quantity) AS mean FROM order_lines GROUP BY 1)
-SELECT order_id, line_number, quantity::DOUBLE AS quantity, total::DOUBLE AS total, round(total / nullif(quantity, 0), 6) AS amount_per_unit, round(ln(1 + total), 6) AS log_total,
+SELECT order_id, line_number, quantity::DOUBLE AS quantity, total::DOUBLE AS total, total / nullif(quantity, 0) AS amount_per_unit, round(ln(1 + total), 6) AS log_total,
        hour(order_ts)::DOUBLE AS hour, (isodow(order_ts) - 1)::DOUBLE AS day_of_week, (isodow(order_ts) >= 6)::INT::DOUBLE AS is_weekend, round(quantity / mean, 6) AS quantity_ratio
 FROM order_lines JOIN m USING (product_id)
 """)
 def basic_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = features.basic_features(order_lines(spark, sf), ["order_id", "line_number"], ["quantity", "total"], "total", "quantity", "order_ts", "product_id")
-    return rows.withColumns({c: F.round(c, 6) for c in ("amount_per_unit", "log_total", "quantity_ratio")})
+    return rows.withColumns({c: F.round(c, 6) for c in ("log_total", "quantity_ratio")})
 
 
 @query(f"""
