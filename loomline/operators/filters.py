@@ -16,12 +16,15 @@ def _matrix(df: DataFrame, columns: Sequence[str]) -> dict[tuple[str, str], floa
     return out
 
 
-def correlation_filter(df: DataFrame, columns: Sequence[str], limit: float = 0.95) -> tuple[list[str], list[tuple[str, str, float]]]:
+def correlation_filter(
+    df: DataFrame, columns: Sequence[str], limit: float = 0.95, r: dict[tuple[str, str], float] | None = None
+) -> tuple[list[str], list[tuple[str, str, float]]]:
     """(kept, dropped): a column goes if its |r| with a kept earlier one reaches the limit.
 
     dropped names the kept column with the largest |r|, of equal ones the earliest.
+    ``r`` gives the absolute correlations if they are known.
     """
-    r = _matrix(df, columns)
+    r = _matrix(df, columns) if r is None else r
     kept: list[str] = []
     dropped = []
     for c in columns:
@@ -33,9 +36,9 @@ def correlation_filter(df: DataFrame, columns: Sequence[str], limit: float = 0.9
     return kept, dropped
 
 
-def redundancy_ranking(df: DataFrame, columns: Sequence[str]) -> list[str]:
+def redundancy_ranking(df: DataFrame, columns: Sequence[str], r: dict[tuple[str, str], float] | None = None) -> list[str]:
     """Columns by least |r| to those ranked before, then least mean |r|, then position."""
-    r = _matrix(df, columns)
+    r = _matrix(df, columns) if r is None else r
     mean = {c: sum(r[c, k] for k in columns if k != c) / max(1, len(columns) - 1) for c in columns}
     ranked: list[str] = []
     while len(ranked) < len(columns):

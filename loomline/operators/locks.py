@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
@@ -20,13 +20,13 @@ def digest(values: Mapping) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def build(name: str, frames: Mapping[str, DataFrame], parameters: Mapping) -> dict:
+def build(name: str, frames: Mapping[str, DataFrame], parameters: Mapping, of: Callable[[DataFrame], str] = fingerprint) -> dict:
     """A lock over the fingerprints of frames and over parameters."""
-    body = {"name": name, "parameters": dict(parameters), "frames": {k: fingerprint(v) for k, v in frames.items()}}
+    body = {"name": name, "parameters": dict(parameters), "frames": {k: of(v) for k, v in frames.items()}}
     return {**body, "lock": digest(body)}
 
 
-def verify(lock: Mapping, frames: Mapping[str, DataFrame]) -> None:
+def verify(lock: Mapping, frames: Mapping[str, DataFrame], of: Callable[[DataFrame], str] = fingerprint) -> None:
     """Refuse a lock that was edited, or frames that differ from those it names."""
     body = {k: v for k, v in lock.items() if k != "lock"}
     if digest(body) != lock.get("lock"):
@@ -34,7 +34,7 @@ def verify(lock: Mapping, frames: Mapping[str, DataFrame]) -> None:
     if set(frames) != set(lock["frames"]):
         raise LockError("the lock names other frames")
     for k, v in frames.items():
-        if fingerprint(v) != lock["frames"][k]:
+        if of(v) != lock["frames"][k]:
             raise LockError(f"frame {k} differs from its lock")
 
 

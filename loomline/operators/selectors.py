@@ -1,6 +1,7 @@
 """Feature selectors behind one interface: fitted on training rows, they project any rows.
 
 Statistics come from Spark, a row a column; the choice among columns is made on the driver.
+Selectors that share one pass over the rows get its sums as ``found``, in the order of the columns.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..ml.histograms import Moments
 from . import filters, stats
 
 
@@ -51,29 +53,43 @@ def variances(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("column_name").agg(F.var_pop("v").alias("variance"))
 
 
-def by_variance(df: DataFrame, columns: Sequence[str], target: str | None = None, k: int | None = None) -> Selection:
+def by_variance(df: DataFrame, columns: Sequence[str], target: str | None = None, k: int | None = None, found: Moments | None = None) -> Selection:
     """All columns whose variance is not exactly 0."""
-    scores = {r["column_name"]: r["variance"] for r in variances(df, columns).collect()}  # a row a column
+    if found is None:
+        scores = {r["column_name"]: r["variance"] for r in variances(df, columns).collect()}  # a row a column
+    else:
+        scores = dict(zip(columns, map(float, found.variances()), strict=True))
     scores = {c: scores.get(c) for c in columns}
     return _chosen("variance", columns, [c for c in columns if scores[c]], scores)
 
 
-def by_redundancy(df: DataFrame, columns: Sequence[str], target: str | None = None, k: int | None = None) -> Selection:
+def _absolute(found: Moments | None, columns: Sequence[str]) -> dict[tuple[str, str], float] | None:
+    """The absolute correlation of each pair, 0 where it is undefined."""
+    if found is None:
+        return None
+    r = found.correlations()
+    return {(a, b): 0.0 if math.isnan(r[i, j]) else round(abs(float(r[i, j])), 12) for i, a in enumerate(columns) for j, b in enumerate(columns) if i != j}
+
+
+def by_redundancy(df: DataFrame, columns: Sequence[str], target: str | None = None, k: int | None = None, found: Moments | None = None) -> Selection:
     """The first k columns of the redundancy ranking."""
-    ranked = filters.redundancy_ranking(df, columns)
+    ranked = filters.redundancy_ranking(df, columns, _absolute(found, columns))
     return _chosen("redundancy", columns, ranked[: k or len(ranked)], {c: float(i) for i, c in enumerate(ranked)})
 
 
-def by_correlation(df: DataFrame, columns: Sequence[str], target: str | None = None, k: int | None = None) -> Selection:
+def by_correlation(df: DataFrame, columns: Sequence[str], target: str | None = None, k: int | None = None, found: Moments | None = None) -> Selection:
     """The columns without a kept earlier one of |r| 0.95 or more."""
-    kept, dropped = filters.correlation_filter(df, columns)
+    kept, dropped = filters.correlation_filter(df, columns, r=_absolute(found, columns))
     return _chosen("correlation", columns, kept, {c: r for c, _, r in dropped} | {c: None for c in kept})
 
 
-def by_anova(df: DataFrame, columns: Sequence[str], target: str, k: int) -> Selection:
+def by_anova(df: DataFrame, columns: Sequence[str], target: str, k: int, found: Moments | None = None) -> Selection:
     """The k columns with the largest F statistic."""
-    found = {r["column_name"]: r["f"] for r in stats.anova_f(df, columns, target, digits=12).collect()}
-    scores = {c: found.get(c) for c in columns}
+    if found is None:
+        f = {r["column_name"]: r["f"] for r in stats.anova_f(df, columns, target, digits=12).collect()}
+    else:
+        f = {c: None if math.isnan(v) else round(float(v), 12) for c, v in zip(columns, found.f(), strict=True)}
+    scores = {c: f.get(c) for c in columns}
     return _chosen("anova", columns, _best(scores, columns, k), scores)
 
 
